@@ -7,13 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, simhash
+from . import bpe, flac, prefix_tokens, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.read_back(flac.encode_column(_table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+
+
+def op6_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return prefix_tokens.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -31,7 +41,7 @@ def _byte_bpe() -> tuple[str, str]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_simhash_near_dedup, op10_byte_bpe)}
+    return {f.__name__: f for f in (op4_flac_media, op6_prefix_token_counts, op8_simhash_near_dedup, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
