@@ -7,13 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, flac, prefix_tokens, simhash
+from . import bpe, flac, langid, prefix_tokens, quality, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, part = _table(spark, sf_dir, "documents"), langid.crc_part("doc_id", 4)
+    out = langid.predict(docs, langid.train(docs, part != 2)).withColumnRenamed("id", "doc_id")
+    return out.withColumn("held_out", F.coalesce(part == 2, F.lit(False)))
+
+
+def op3_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, part = _table(spark, sf_dir, "documents"), langid.crc_part("doc_id", 5)
+    model = quality.train(docs, _table(spark, sf_dir, "labels"), part != 0)
+    return quality.score(docs, model).withColumnRenamed("id", "doc_id").withColumn("held_out", F.coalesce(part == 0, F.lit(False)))
+
+
 def op4_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.read_back(flac.encode_column(_table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
 
@@ -41,7 +53,7 @@ def _byte_bpe() -> tuple[str, str]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_flac_media, op6_prefix_token_counts, op8_simhash_near_dedup, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_language_id, op3_quality_gam, op4_flac_media, op6_prefix_token_counts, op8_simhash_near_dedup, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
