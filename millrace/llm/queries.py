@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, flac, langid, prefix_tokens, quality, simhash
+from . import bpe, flac, langid, lattice, prefix_tokens, quality, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("held_out", F.coalesce(part == 2, F.lit(False)))
 
 
+def op2_lattice_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def op3_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, part = _table(spark, sf_dir, "documents"), langid.crc_part("doc_id", 5)
     model = quality.train(docs, _table(spark, sf_dir, "labels"), part != 0)
@@ -53,7 +57,7 @@ def _byte_bpe() -> tuple[str, str]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_quality_gam, op4_flac_media, op6_prefix_token_counts, op8_simhash_near_dedup, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_language_id, op2_lattice_near_dedup, op3_quality_gam, op4_flac_media, op6_prefix_token_counts, op8_simhash_near_dedup, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
