@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import in_arrow, prepare, stored, texts
 
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 32 << 20
 _loaded: dict = {}
 
 
@@ -68,14 +68,24 @@ def unpack(blob: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip([4 + 4 * n, *ends], ends, strict=False)]
 
 
+#: Byte strings that _planes() makes of numbers.
+PLANES = 5
+
+
 def _planes(x: np.ndarray) -> list[bytes]:
-    """The bytes of numbers, by significance."""
+    """The bytes of numbers by significance, highest first; the lowest bytes of numbers under 256 apart from the others."""
     raw = x.astype("<u4").view(np.uint8).reshape(-1, 4)
-    return [raw[:, k].tobytes() for k in range(4)]
+    small = x < 256
+    return [*(raw[:, k].tobytes() for k in (3, 2, 1)), raw[small, 0].tobytes(), raw[~small, 0].tobytes()]
 
 
 def _from_planes(parts: list[bytes]) -> np.ndarray:
-    return np.stack([np.frombuffer(p, np.uint8) for p in parts], 1).reshape(-1).view("<u4") if parts[0] else np.zeros(0, "<u4")
+    high = [np.frombuffer(p, np.uint8) for p in parts]
+    raw = np.zeros((len(high[0]), 4), np.uint8)
+    raw[:, 3], raw[:, 2], raw[:, 1] = high[:3]
+    small = ~raw.any(1)
+    raw[small, 0], raw[~small, 0] = high[3], high[4]
+    return raw.reshape(-1).view("<u4")
 
 
 class _Numbers(dict):
@@ -101,14 +111,16 @@ class _Block:
         import xxhash
 
         words = [w.encode() for w in self.number]
+        self.number.clear()
         bucket = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % self.buckets
         order = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
         order = order[np.argsort(bucket[order], kind="stable")]  # by bucket, then by word
-        flat = np.concatenate([np.zeros(0, np.uint32), *self.counts])
+        sizes, flat = np.fromiter(map(len, self.counts), np.uint32, len(self.counts)), np.concatenate([np.zeros(0, np.uint32), *self.counts])
+        self.counts.clear()
         often = np.bincount(flat, minlength=len(words))[order]
         rank = np.empty(len(words), np.uint32)
         rank[order[np.argsort(-often, kind="stable")]] = np.arange(len(words), dtype=np.uint32)
-        blob = pack([*_planes(np.fromiter(map(len, self.counts), np.uint32, len(self.counts))), *_planes(often), *_planes(rank[flat])])
+        blob = pack([*_planes(sizes), *_planes(often), *_planes(rank[flat])])
         packs, edges = {}, np.searchsorted(bucket[order], np.arange(self.buckets + 1))
         for k in range(self.buckets):
             if edges[k] < edges[k + 1]:
@@ -159,7 +171,7 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
                 got = []
                 for w in unpack(body.as_py()):
                     if (ids := known.get(w)) is None:
-                        if len(known) >= 2_000_000:  # bounds memory only
+                        if len(known) >= 500_000:  # bounds memory only
                             known.clear()
                         known[w] = ids = np.array(coder._encode_single_piece(w), "<u4")
                     got.append(ids)
@@ -175,14 +187,14 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
         size, flat = [np.zeros(0, "<u4")], [np.zeros(0, "<u4")]
         for k in sorted(packs):
             p = unpack(packs[k].as_py())
-            size.append(_from_planes(p[:4]))
-            flat.append(_from_planes(p[4:]))
+            size.append(_from_planes(p[:PLANES]))
+            flat.append(_from_planes(p[PLANES:]))
         size, flat = np.concatenate(size).astype(np.int64), np.concatenate(flat).astype(np.int32)
         start = np.cumsum(size) - size
         keys, lists = [], []
         for rows, body in zip(left.column("ids").to_pylist(), left.column("body"), strict=True):
             p = unpack(body.as_py())
-            lens, often, rank = _from_planes(p[:4]).astype(np.int64), _from_planes(p[4:8]).astype(np.int64), _from_planes(p[8:])
+            lens, often, rank = (_from_planes(p[a : a + PLANES]).astype(np.int64) for a in (0, PLANES, 2 * PLANES))
             if len(often) != len(size):
                 raise RuntimeError(f"a block of {len(often)} words got the ids of {len(size)}")
             at = np.argsort(-often, kind="stable")  # rank -> place in the packs
