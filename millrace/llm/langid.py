@@ -125,26 +125,29 @@ def train(df: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str =
     return fit(np.stack([np.frombuffer(r["x"], np.float32) for r in rows]), [r["y"] for r in rows])
 
 
+def classify(text: list[str | None], model: Model) -> list[tuple[str, float, str | None, bool]]:
+    """(language, score, runner-up, ambiguous) of each text; `und`, 0, null and false for one that is null or has no letter."""
+    out: list[tuple[str, float, str | None, bool]] = [(UNKNOWN, 0.0, None, False)] * len(text)
+    on = [k for k, t in enumerate(text) if model.languages and t and any(map(str.isalpha, t))]
+    for at in range(0, len(on), 256):
+        part = on[at : at + 256]
+        p = model.probabilities(np.stack([features(text[k]) for k in part]))
+        for k, q, o in zip(part, p, np.argsort(-p, axis=1, kind="stable"), strict=True):
+            out[k] = (model.languages[o[0]], float(q[o[0]]), model.languages[o[1]] if len(o) > 1 else None, bool(q[o[0]] < AMBIGUOUS))
+    return out
+
+
 def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score, runner_up, ambiguous) for every row, from its whole text alone.
 
     A text that is null or has no letter is `und`, with score 0, and not ambiguous; so is any text if the
-    model has no language. Rows with null or repeated ids come back as they are; an empty table gives no rows.
+    model has no language. Rows with null or repeated ids come back as they are; an empty table gives no
+    rows; other columns are ignored.
     """
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        text = [(t or b"").decode("utf-8", "replace") for t in b.column(1).to_pylist()]
-        on = [k for k, t in enumerate(text) if model.languages and any(map(str.isalpha, t))]
-        lang, score, second, doubt = [UNKNOWN] * len(text), [0.0] * len(text), [None] * len(text), [False] * len(text)
-        for at in range(0, len(on), 256):
-            part = on[at : at + 256]
-            p = model.probabilities(np.stack([features(text[k]) for k in part]))
-            order = np.argsort(-p, axis=1, kind="stable")
-            for k, q, o in zip(part, p, order, strict=True):
-                lang[k], score[k] = model.languages[o[0]], float(q[o[0]])
-                second[k] = model.languages[o[1]] if len(o) > 1 else None
-                doubt[k] = score[k] < AMBIGUOUS
-        cols = [pa.array(lang), pa.array(score, pa.float64()), pa.array(second, pa.string()), pa.array(doubt)]
+        rows = classify([None if t is None else t.decode("utf-8", "replace") for t in b.column(1).to_pylist()], model)
+        cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.float64(), pa.string(), pa.bool_()), strict=True)]
         yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["id", "lang_pred", "score", "runner_up", "ambiguous"])
 
     docs = texts(df, id_col, text_col).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("t"))
@@ -154,3 +157,13 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def crc_part(id_col: str, parts: int) -> Column:
     """crc32 of the id as text, modulo parts; null for a null id."""
     return F.pmod(F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")), F.lit(parts))
+
+
+def keep_known(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of df, as they are, whose language can be told: others than `und`."""
+
+    def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        text = b.column(b.schema.get_field_index(text_col)).to_pylist()
+        yield b.filter(pa.array([x != UNKNOWN for x, *_ in classify(text, model)], pa.bool_()))
+
+    return in_arrow(df, run, df.schema)

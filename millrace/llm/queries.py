@@ -82,11 +82,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path, pattern = _byte_bpe()
+    path, pattern = byte_bpe()
     return bpe.digests(bpe.encode(_table(spark, sf_dir, "documents"), path, pattern), path).withColumnRenamed("id", "doc_id")
 
 
-def _byte_bpe() -> tuple[str, str]:
+def byte_bpe() -> tuple[str, str]:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN

@@ -16,8 +16,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import in_arrow, local_components, prepare, stored, texts
 from .components import components
@@ -174,3 +175,28 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
     of = stored(named.join(least, "component").select("fp", "component_id"), "simhash-classes")
     return fps.join(of, "fp").select("id", "fp", "component_id")
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """df's rows, as they are, of one document of each group of near duplicates: the one with the smallest id.
+
+    An id stands for one document: of rows that share an id, one stays. Rows without an id stay if no row
+    with an id is in their group.
+    """
+    found = near_duplicates(df, id_col, text_col)
+    kept = found.where("id = component_id").select(F.col("id").alias("_kept")).distinct()
+    row = Window.partitionBy("_kept").orderBy(F.xxhash64(F.col(f"`{text_col}`")))
+    docs = df.withColumn("_kept", F.col(f"`{id_col}`"))
+    one = docs.join(kept, "_kept", "left_semi").withColumn("_row", F.row_number().over(row)).where("_row = 1").select(*[F.col(f"`{c}`") for c in df.columns])
+    if found.where("id is null").isEmpty():
+        return one
+
+    def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        text = b.column(b.schema.get_field_index(text_col)).to_pylist()
+        fp = np.array([fingerprint((t or "").encode(), shingle=3) for t in text], np.uint64)
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp.view(np.int64))], names=[*b.schema.names, "_fp"])
+
+    unnamed = df.where(F.col(f"`{id_col}`").isNull())
+    named = found.where("id is null and component_id is not null").select(F.col("fp").alias("_fp")).distinct()
+    alone = in_arrow(unnamed, run, StructType([*df.schema.fields, StructField("_fp", LongType())])).join(named, "_fp", "left_anti")
+    return one.unionByName(alone.select(*[F.col(f"`{c}`") for c in df.columns]))
