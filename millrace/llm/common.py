@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..workspace import scratch, shared_folder
+
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 #: Rows of an Arrow batch; with the byte limit below it bounds what a Python worker holds.
 BATCH_ROWS = 2000
@@ -30,35 +29,6 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def _shared(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a folder of our own only for a local master, as in tests."""
-    sc = spark.sparkContext
-    at = sc.getConf().get("spark.checkpoint.dir", "") or sc._jsc.sc().getCheckpointDir().getOrElse(None)
-    if not at:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="millrace-")
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(at)
-    return at
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the driver's Python ends."""
-    path = f"{_shared(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-
-    def remove() -> None:
-        try:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
-        except Exception:  # noqa: BLE001  the JVM has gone already
-            pass
-
-    atexit.register(remove)
-    return path
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts lineage, and fixes the rows that several readers see."""
     path = scratch(df.sparkSession, name)
@@ -67,7 +37,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    _shared(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
