@@ -109,14 +109,16 @@ def order_violations(df: DataFrame, keys: list[str]) -> int:
     schema = ", ".join(f"{e}_{k} {df.schema[name].dataType.simpleString()}" for e in ("first", "last") for k, name in enumerate(keys))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bad, first, last = 0, None, None
+        bad, first, last, kinds = 0, None, None, []
         for b in batches:
+            kinds = b.schema.types
             for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 key = tuple((x is not None, x.encode() if isinstance(x, str) else x) for x in row)
                 bad += last is not None and key < last[0]
                 first, last = first or row, (key, row)
         if first:
-            yield pa.RecordBatch.from_pylist([{"bad": bad} | {f"{e}_{k}": v for e, r in (("first", first), ("last", last[1])) for k, v in enumerate(r)}])
+            cols = {f"{e}_{k}": pa.array([v], kinds[k]) for e, r in (("first", first), ("last", last[1])) for k, v in enumerate(r)}
+            yield pa.RecordBatch.from_pydict({"bad": pa.array([bad], pa.int64())} | cols)
 
     ends = df.select(*[F.col(f"`{k}`") for k in keys]).mapInArrow(run, f"bad long, {schema}").select(F.spark_partition_id().alias("p"), "*").collect()
     ends.sort(key=lambda r: r["p"])

@@ -379,7 +379,7 @@ def statistics_collect(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = Statistics()
     for name, column in (("orders", "o_custkey"), ("customer", "c_custkey")):
         s.collect(name, table(spark, sf_dir, name), [column], exact=True)
-    rows = [(r, x.rows, c, n) for r, x in s.relations.items() for c, n in x.distinct.items()]
+    rows = [(r, int(x.rows), c, n) for r, x in s.relations.items() for c, n in x.distinct.items()]
     return spark.createDataFrame(rows, "relation string, row_count long, attribute string, distinct_values long")
 
 
