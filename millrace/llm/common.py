@@ -58,6 +58,14 @@ def texts(df: DataFrame, *cols: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in cols])
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have (names differ by more than case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def local_components(n: int, i, j):
     """Smallest index reachable from each of n nodes over the links (i, j)."""
     import numpy as np

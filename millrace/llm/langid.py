@@ -49,6 +49,8 @@ def features(text: str) -> np.ndarray:
 
 def codewords(k: int) -> np.ndarray:
     """k codewords of +1 and -1: all ways to part up to 5 languages, else the best of some seeded random codes."""
+    if k < 2:
+        return np.zeros((k, 0), np.int8)
     if k <= 5:
         cols = [(1, *c) for c in itertools.product((1, -1), repeat=k - 1) if -1 in c]
         return np.array(cols, np.int8).T.reshape(k, -1)

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import spare, stored
 
 BUCKETS = 4096
 #: Plans of up to this many leaves are broadcast; larger ones are joined by a shuffle.
@@ -61,18 +61,17 @@ def budgets(leaves: DataFrame, weight: Column, total: float, epochs: int) -> Dat
     return leaves.join(above, list(LEVELS), "left").withColumn("budget", F.coalesce("budget", F.lit(0.0)))
 
 
-def mix(df: DataFrame, domain: Column, weight: Column, total: float | None = None, share: float = 1.0, epochs: int = 4, seed: int = 1, tokens: Column | None = None, id_col: str = "doc_id", lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """df's rows that are drawn, with `mix_domain`, `mix_epoch` and `mix_tokens`; a row comes once for each epoch that draws it.
+def mix(df: DataFrame, domain: Column, weight: Column, total: float | None = None, share: float = 1.0, epochs: int = 4, seed: int = 1, tokens: Column | None = None, id_col: str = "doc_id", lang_col: str = "lang", source_col: str = "source", text_col: str = "text", mix_col: str = "mix") -> DataFrame:
+    """df's rows that are drawn, as they are, with a column mix_col (domain, epoch, tokens); a row comes once for each epoch that draws it.
 
     total: the budget in tokens, else share times all tokens. tokens: of a row, else a quarter of its
     UTF-8 bytes, rounded up; a null text has none. A null language, source or domain is a branch of its
     own, `unknown`. Rows with the same id, or without one, share a place in the order and are drawn
     together or not at all; rows of no tokens are drawn if their place lies in the prefix. An empty
-    table gives no rows. Other columns are kept; those named mix_* or _mix_* are replaced.
+    table gives no rows. Other columns are kept, but for one named mix_col.
     """
     import math
 
-    df = df.drop(*[c for c in df.columns if c.startswith(("mix_", "_mix_"))])
     key = lambda c: F.coalesce(c.cast("string"), F.lit("unknown"))
     size = F.ceil(F.octet_length(F.col(f"`{text_col}`")) / 4) if tokens is None else tokens
     own = df.select(key(domain).alias("domain"), key(F.col(f"`{lang_col}`")).alias("lang"), key(F.col(f"`{source_col}`")).alias("source"), F.coalesce(size, F.lit(0)).cast("long").alias("tokens"), F.col(f"`{id_col}`").alias("id"))
@@ -94,11 +93,16 @@ def mix(df: DataFrame, domain: Column, weight: Column, total: float | None = Non
     near = near.withColumn("upto", F.col("before") + F.sum("tokens").over(in_order)).where("upto <= rest").groupBy(*LEVELS).agg(F.max("place").alias("to"))
     edge = cut.join(near, list(LEVELS), "left").withColumn("to", F.coalesce("to", F.shiftleft(F.col("range"), _RANGE) - 1)).select(*LEVELS, "to")
     # no cut: the whole last epoch is within the rest (only where the rest is all of it)
-    draw = stored(plan.join(edge, list(LEVELS), "left").select(*[F.col(c).alias(f"_mix_{c}") for c in LEVELS], F.col("passes").alias("_mix_passes"), F.when(F.col("rest") > 0, F.coalesce("to", F.lit((1 << 60) - 1))).otherwise(F.lit(-1)).cast("long").alias("_mix_to")), "mix-draw")
-
-    out = df.select("*", key(domain).alias("_mix_domain"), key(F.col(f"`{lang_col}`")).alias("_mix_lang"), key(F.col(f"`{source_col}`")).alias("_mix_source"), F.coalesce(size, F.lit(0)).cast("long").alias("mix_tokens"))
-    out = out.join(small(draw), [f"_mix_{c}" for c in LEVELS])
-    drawn = place(seed, F.col("_mix_passes"), F.col(f"`{id_col}`")) <= F.col("_mix_to")
-    times = F.col("_mix_passes") + F.when(drawn, 1).otherwise(0)
-    out = out.withColumn("_mix_times", times).where("_mix_times > 0").withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), F.col("_mix_times") - 1)))
-    return out.withColumn("mix_domain", F.col("_mix_domain")).drop("_mix_domain", "_mix_lang", "_mix_source", "_mix_passes", "_mix_to", "_mix_times")
+    upto = F.when(F.col("rest") > 0, F.coalesce("to", F.lit((1 << 60) - 1))).otherwise(F.lit(-1)).cast("long")
+    df = df.drop(mix_col)
+    leaf, told = [spare(df, f"mix_{c}") for c in LEVELS], spare(df, "mix_draw")
+    draw = plan.join(edge, list(LEVELS), "left").select(*[F.col(c).alias(n) for c, n in zip(LEVELS, leaf, strict=True)], F.struct("passes", upto.alias("to")).alias(told))
+    draw = stored(draw, "mix-draw")
+
+    out = df.select("*", *[x.alias(n) for x, n in zip((key(domain), key(F.col(f"`{lang_col}`")), key(F.col(f"`{source_col}`"))), leaf, strict=True)]).join(small(draw), leaf)
+    passes, to = F.col(f"`{told}`.passes"), F.col(f"`{told}`.to")
+    times = passes + F.when(place(seed, passes, F.col(f"`{id_col}`")) <= to, 1).otherwise(0)
+    epochs_of = F.when(times > 0, F.sequence(F.lit(0), times - 1))
+    at = spare(df, "mix_epoch")
+    given = F.struct(F.col(f"`{leaf[0]}`").alias("domain"), F.col(f"`{at}`").cast("long").alias("epoch"), F.coalesce(size, F.lit(0)).cast("long").alias("tokens")).alias(mix_col)
+    return out.withColumn(at, F.explode(epochs_of)).select(*[F.col(f"`{c}`") for c in df.columns], given)

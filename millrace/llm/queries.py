@@ -78,7 +78,7 @@ def mix_weight() -> Column:
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     out = mixing.mix(docs, mix_domain(F.col("source")), mix_weight(), share=MIX_SHARE, epochs=MIX_EPOCHS, seed=MIX_SEED)
-    return out.select("doc_id", F.col("mix_domain").alias("domain"), "lang", "source", F.col("mix_epoch").cast("long").alias("epoch"), F.col("mix_tokens").alias("n_tokens"))
+    return out.select("doc_id", "mix.domain", "lang", "source", "mix.epoch", F.col("mix.tokens").alias("n_tokens"))
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

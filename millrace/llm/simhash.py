@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import in_arrow, local_components, prepare, stored, texts
+from .common import in_arrow, local_components, prepare, spare, stored, texts
 from .components import components
 
 SAMPLE = 65536
@@ -184,19 +184,20 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     with an id is in their group.
     """
     found = near_duplicates(df, id_col, text_col)
-    kept = found.where("id = component_id").select(F.col("id").alias("_kept")).distinct()
-    row = Window.partitionBy("_kept").orderBy(F.xxhash64(F.col(f"`{text_col}`")))
-    docs = df.withColumn("_kept", F.col(f"`{id_col}`"))
-    one = docs.join(kept, "_kept", "left_semi").withColumn("_row", F.row_number().over(row)).where("_row = 1").select(*[F.col(f"`{c}`") for c in df.columns])
+    name, row, fp_col = spare(df, "kept"), spare(df, "row"), spare(df, "fp")
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    kept = found.where("id = component_id").select(F.col("id").alias(name)).distinct()
+    first = Window.partitionBy(name).orderBy(F.xxhash64(F.col(f"`{text_col}`")))
+    one = df.withColumn(name, F.col(f"`{id_col}`")).join(kept, name, "left_semi").withColumn(row, F.row_number().over(first)).where(F.col(row) == 1).select(*columns)
     if found.where("id is null").isEmpty():
         return one
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         text = b.column(b.schema.get_field_index(text_col)).to_pylist()
         fp = np.array([fingerprint((t or "").encode(), shingle=3) for t in text], np.uint64)
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp.view(np.int64))], names=[*b.schema.names, "_fp"])
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp.view(np.int64))], names=[*b.schema.names, fp_col])
 
     unnamed = df.where(F.col(f"`{id_col}`").isNull())
-    named = found.where("id is null and component_id is not null").select(F.col("fp").alias("_fp")).distinct()
-    alone = in_arrow(unnamed, run, StructType([*df.schema.fields, StructField("_fp", LongType())])).join(named, "_fp", "left_anti")
-    return one.unionByName(alone.select(*[F.col(f"`{c}`") for c in df.columns]))
+    named = found.where("id is null and component_id is not null").select(F.col("fp").alias(fp_col)).distinct()
+    alone = in_arrow(unnamed, run, StructType([*df.schema.fields, StructField(fp_col, LongType())])).join(named, fp_col, "left_anti")
+    return one.unionByName(alone.select(*columns))

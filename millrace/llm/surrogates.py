@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, prepare, stored
+from .common import checkpointed, prepare, spare, stored
 
 # Titles and first names by gender and script.
 MALE_TITLES = ("Mr", "Herr", "Señor", "Monsieur", "Господин")
@@ -236,28 +236,30 @@ def _replaced(text: Column, found: Column, key: str, attempt) -> Column:
     return F.when(F.size(found) > 0, F.array_join(parts, "")).otherwise(text)
 
 
-def pseudonymise(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
-    """df with text_col replaced, and `pii_found`, the matches as they were (null for a null text).
+def pseudonymise(df: DataFrame, key: str, text_col: str = "text", found_col: str = "pii_found") -> DataFrame:
+    """df with text_col replaced, and found_col, the matches as they were (null for a null text).
 
-    Rows keep their other columns; repeated rows stay repeated; a column named pii_found is replaced.
-    Null texts stay null, empty ones empty; an empty table gives no rows.
+    Rows keep their other columns, but for one named found_col; repeated rows stay repeated. Null texts
+    stay null, empty ones empty; an empty table gives no rows.
     """
     prepare(df.sparkSession)
-    text = F.col(f"`{text_col}`")
+    df = df.drop(found_col)
+    text, found = F.col(f"`{text_col}`"), F.col(f"`{found_col}`")
     retry = stored(attempts(entities(df, text_col), key), "pii-attempts")
-    docs = df.withColumn("pii_found", matches(text))
+    docs = df.withColumn(found_col, matches(text))
     some = retry.limit(LITERAL + 1).collect()
     if len(some) <= LITERAL:
         table = F.create_map(*[F.lit(v) for r in some for v in (f"{r['kind']}|{r['canon']}", r["attempt"])]) if some else None
         attempt = lambda kind, canon: F.coalesce(table[F.concat(kind, F.lit("|"), canon)], F.lit(0)) if some else F.lit(0)
-        return docs.withColumn(text_col, _replaced(text, F.col("pii_found"), key, attempt))
+        return docs.withColumn(text_col, _replaced(text, found, key, attempt))
     # many: the texts that hold such entities get their attempt numbers by a join
-    name = F.sha2(text.cast("binary"), 256)
-    x = docs.select(name.alias("_pii_text"), F.explode("pii_found").alias("x")).withColumn("kind", kind_of(F.col("x"))).where("kind is not null")
+    name, tries = spare(docs, "text_sha"), spare(docs, "tries")
+    sha = F.sha2(text.cast("binary"), 256)
+    x = docs.select(sha.alias("sha"), F.explode(found).alias("x")).withColumn("kind", kind_of(F.col("x"))).where("kind is not null")
     named = F.col("kind") == "name"
-    x = x.select("_pii_text", F.when(named, "surname").otherwise(F.col("kind")).alias("kind"), F.when(named, F.substring_index("x", " ", -1)).otherwise(F.col("x")).alias("x"))
-    x = x.select("_pii_text", "kind", canonical(F.col("x"), F.col("kind")).alias("canon")).distinct().join(retry, ["kind", "canon"])
-    tables = x.groupBy("_pii_text").agg(F.map_from_entries(F.collect_list(F.struct(F.concat("kind", F.lit("|"), "canon"), "attempt"))).alias("_pii_tries"))
-    docs = docs.withColumn("_pii_text", F.when(F.size("pii_found") > 0, name)).join(tables, "_pii_text", "left")
-    attempt = lambda kind, canon: F.coalesce(F.col("_pii_tries")[F.concat(kind, F.lit("|"), canon)], F.lit(0))
-    return docs.withColumn(text_col, _replaced(text, F.col("pii_found"), key, attempt)).drop("_pii_text", "_pii_tries")
+    x = x.select("sha", F.when(named, "surname").otherwise(F.col("kind")).alias("kind"), F.when(named, F.substring_index("x", " ", -1)).otherwise(F.col("x")).alias("x"))
+    x = x.select("sha", "kind", canonical(F.col("x"), F.col("kind")).alias("canon")).distinct().join(retry, ["kind", "canon"])
+    tables = x.groupBy(F.col("sha").alias(name)).agg(F.map_from_entries(F.collect_list(F.struct(F.concat("kind", F.lit("|"), "canon"), "attempt"))).alias(tries))
+    docs = docs.withColumn(name, F.when(F.size(found) > 0, sha)).join(tables, name, "left")
+    attempt = lambda kind, canon: F.coalesce(F.col(f"`{tries}`")[F.concat(kind, F.lit("|"), canon)], F.lit(0))
+    return docs.withColumn(text_col, _replaced(text, found, key, attempt)).drop(name, tries)
