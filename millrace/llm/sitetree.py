@@ -42,6 +42,7 @@ SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("tabl
 
 _token = re.compile(r"<!--(?:.*?-->|.*)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)(?:>|$)", re.S)
 _attribute = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_hidden = re.compile(r"(?:^|\s)hidden(?:[\s=/]|$)|display\s*:\s*none", re.I)
 _word = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _host = re.compile(r"^\s*(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)")
 
@@ -97,11 +98,12 @@ class Page:
             for m in _attribute.finditer(attrs):
                 value = m[2] or m[3] or m[4] or ""
                 words.update(w.lower() for w in _word.findall(value))
+                words.update(re.sub(r"[\W_]", "", w).lower() for w in value.split())
                 label += "." + re.sub(r"\d+", "#", value)
                 role = value.strip().lower() if m[1].lower() == "role" else role
         if tag in ("html", "body", "main", "article") and not words & {"comment", "comments", "teaser", "related"}:
             return False, label
-        if tag in NOISE_TAGS or words & NOISE_WORDS or role in ("banner", "search", "form") or " hidden" in f" {attrs.lower()} ".replace("=", " = "):
+        if tag in NOISE_TAGS or words & NOISE_WORDS or role in ("banner", "search", "form") or _hidden.search(attrs):
             return True, label
         inside = "/article" in path or "/main" in path
         return (tag == "header" or words & {"header"} == {"header"} and tag == "div") and not inside, label
