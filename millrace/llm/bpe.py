@@ -25,9 +25,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow, prepare, stored, texts
+from .common import in_arrow, prepare, release, stored, texts
 
 BLOCK_BYTES = 32 << 20
+#: A block's packed positions travel in slices of this many bytes, as rows with buckets -1, -2, ...
+SLICE = 128 << 10
 _loaded: dict = {}
 
 
@@ -146,10 +148,11 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
 
         def give(b: _Block) -> Iterator[pa.RecordBatch]:
             block, rows, blob, packs = b.parts()
-            keys, none = pa.array([rows], pa.list_(arrow_id)), pa.nulls(len(packs), pa.list_(arrow_id))
-            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([-1], pa.int32()), pa.array([blob]), keys], names=names)
-            if packs:
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(packs)), pa.array(list(packs), pa.int32()), pa.array(list(packs.values())), none], names=names)
+            parts = {-1 - k: blob[at : at + SLICE] for k, at in enumerate(range(0, len(blob), SLICE))} | packs
+            for at in range(0, len(parts), 64):
+                some = list(parts)[at : at + 64]
+                keys = pa.array([rows if k == -1 else None for k in some], pa.list_(arrow_id))
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(some)), pa.array(some, pa.int32()), pa.array([parts[k] for k in some]), keys], names=names)
 
         now = _Block(split, buckets)
         for b in batches:
@@ -160,6 +163,8 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
                     now = _Block(split, buckets)
         if now.rows:
             yield from give(now)
+        del now
+        release()
 
     parts = stored(docs.mapInArrow(blocks, f"block long, bucket int, body binary, ids array<{kind}>"), "bpe-blocks")
 
@@ -178,6 +183,8 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
                 flat = np.concatenate(got)
                 out.append(pack([*_planes(np.fromiter(map(len, got), np.uint32, len(got))), *_planes(flat)]))
             yield pa.RecordBatch.from_arrays([b.column("block"), b.column("bucket"), pa.array(out, pa.binary())], names=["block", "bucket", "ids"])
+        known.clear()
+        release()
 
     words = parts.where("bucket >= 0").select("block", "bucket", "body").repartition(buckets, "bucket")
     coded = words.mapInArrow(encode_words, "block long, bucket int, ids binary")
@@ -189,26 +196,42 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
             p = unpack(packs[k].as_py())
             size.append(_from_planes(p[:PLANES]))
             flat.append(_from_planes(p[PLANES:]))
+        del packs
         size, flat = np.concatenate(size).astype(np.int64), np.concatenate(flat).astype(np.int32)
         start = np.cumsum(size) - size
-        keys, lists = [], []
-        for rows, body in zip(left.column("ids").to_pylist(), left.column("body"), strict=True):
-            p = unpack(body.as_py())
-            lens, often, rank = (_from_planes(p[a : a + PLANES]).astype(np.int64) for a in (0, PLANES, 2 * PLANES))
+        out, keys, lists, waiting = [], [], [], 0
+        schema = pa.schema([("id", arrow_id), ("ids", pa.list_(pa.int32()))])
+
+        def give() -> None:
+            ends = pa.array(np.cumsum([0, *map(len, lists)]), pa.int32())
+            out.append(pa.RecordBatch.from_arrays([pa.array(keys, arrow_id), pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int32), *lists])))], schema=schema))
+            keys.clear()
+            lists.clear()
+
+        # equal blocks of equal rows have one id: their slices are the same, and each has a list of ids
+        slices = dict(zip(left.column("bucket").to_pylist(), left.column("body"), strict=True))
+        p = unpack(b"".join(slices[k].as_py() for k in sorted(slices, reverse=True)))
+        del slices
+        for rows in filter(None, left.column("ids").to_pylist()):
+            lens, often, rank = (_from_planes(p[a : a + PLANES]) for a in (0, PLANES, 2 * PLANES))
             if len(often) != len(size):
                 raise RuntimeError(f"a block of {len(often)} words got the ids of {len(size)}")
-            at = np.argsort(-often, kind="stable")  # rank -> place in the packs
-            ends = np.cumsum(lens)
-            for k, (a, b) in zip(rows, zip(ends - lens, ends, strict=True), strict=True):
+            at = np.argsort(-often.astype(np.int64), kind="stable").astype(np.int32)  # rank -> place in the packs
+            ends = np.cumsum(lens, dtype=np.int64)
+            for k, a, b in zip(rows, (ends - lens).tolist(), ends.tolist(), strict=True):
                 w = at[rank[a:b]]
                 n, total = size[w], int(size[w].sum())
                 lists.append(flat[np.repeat(start[w] - (np.cumsum(n) - n), n) + np.arange(total)])
                 keys.append(k)
-        ends = np.cumsum([0, *map(len, lists)])
-        values = pa.array(np.concatenate([np.zeros(0, np.int32), *lists]))
-        return pa.table({"id": pa.array(keys, arrow_id), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)})
-
-    bodies = parts.where("bucket = -1").select("block", "ids", "body")
+                waiting += total
+                if waiting >= 1 << 20:
+                    give()
+                    waiting = 0
+        give()
+        release()
+        return pa.Table.from_batches(out, schema)
+
+    bodies = parts.where("bucket < 0").select("block", "bucket", "ids", "body")
     return bodies.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(reassemble, f"id {kind}, ids array<int>")
 
 

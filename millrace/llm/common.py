@@ -13,8 +13,8 @@ from ..workspace import scratch, shared_folder
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 #: Rows of an Arrow batch; with the byte limit below it bounds what a Python worker holds.
-BATCH_ROWS = 2000
-BATCH_BYTES = 32 << 20
+BATCH_ROWS = 1000
+BATCH_BYTES = 16 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -49,10 +49,21 @@ def in_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBat
         for b in batches:
             if b.num_rows:
                 yield from fn(b)
+        release()
 
     return df.mapInArrow(run, schema)
 
 
+def release() -> None:
+    """Gives a worker's free memory back: workers are used again, and several live beside each other."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def texts(df: DataFrame, *cols: str) -> DataFrame:
     """The named columns only: Parquet reads no others, and clashing extra columns stay out."""
     return df.select(*[F.col(f"`{c}`") for c in cols])

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import in_arrow, texts
 
 #: Hash buckets of n-grams of 1 to 3 characters.
-BUCKETS = 8192
+BUCKETS = 4096
 #: Training rows at most, over all languages; an equal share for each language.
 MAX_ROWS = 2400
 #: A text is ambiguous if the best language's probability is below this.
@@ -42,7 +42,7 @@ def features(text: str) -> np.ndarray:
         for k in range(3):
             if k:
                 h = (h[:-1] ^ (h[:-1] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + c[k:] * np.uint64(0x9E3779B97F4A7C15)
-            total += np.bincount(((h * np.uint64(0x94D049BB133111EB)) >> np.uint64(51)).astype(np.int64), minlength=BUCKETS)
+            total += np.bincount(((h * np.uint64(0x94D049BB133111EB)) >> np.uint64(52)).astype(np.int64), minlength=BUCKETS)
     out = np.sqrt(total.astype(np.float32))
     return out / max(1e-9, float(np.linalg.norm(out)))
 
@@ -120,11 +120,11 @@ def train(df: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str =
     few = few.withColumn("k", F.row_number().over(Window.partitionBy("y").orderBy("h", F.col("id").cast("string"), "t"))).where(F.col("k") <= share).select("y", "k", F.col("t").cast("binary").alias("t"))
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        x = [features(t.decode("utf-8", "replace")).astype(np.float32).tobytes() for t in b.column(2).to_pylist()]
+        x = [features(t.decode("utf-8", "replace")).astype(np.float16).tobytes() for t in b.column(2).to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.binary())], names=["y", "k", "x"])
 
     rows = sorted(in_arrow(few, run, "y string, k int, x binary").collect(), key=lambda r: (r["y"], r["k"]))
-    return fit(np.stack([np.frombuffer(r["x"], np.float32) for r in rows]), [r["y"] for r in rows])
+    return fit(np.stack([np.frombuffer(r["x"], np.float16) for r in rows]).astype(np.float32), [r["y"] for r in rows])
 
 
 def classify(text: list[str | None], model: Model) -> list[tuple[str, float, str | None, bool]]:
