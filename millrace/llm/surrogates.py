@@ -27,8 +27,8 @@ MALE_TITLES = ("Mr", "Herr", "Señor", "Monsieur", "Господин")
 FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Frau", "Señora", "Madame", "Госпожа")
 OTHER_TITLES = ("Dr", "Prof")
 FIRST_NAMES = {
-    ("f", "latin"): ("Alice", "Anna", "Catherine", "Charlotte", "Elizabeth", "Emily", "Helen", "Isabel", "Julia", "Laura", "Margaret", "Maria", "Martha", "Patricia", "Sarah", "Sophie"),
-    ("m", "latin"): ("Albert", "Andrew", "Charles", "Daniel", "Edward", "Frank", "George", "Henry", "James", "John", "Michael", "Paul", "Peter", "Richard", "Robert", "Thomas"),
+    ("f", "latin"): ("Alice", "Anna", "Carmen", "Catherine", "Charlotte", "Claire", "Elizabeth", "Emily", "Emma", "Helen", "Isabel", "Julia", "Laura", "Margaret", "Maria", "Marie", "Martha", "Mary", "Patricia", "Sarah", "Sophie", "Susan", "Ursula"),
+    ("m", "latin"): ("Albert", "Andrew", "Carlos", "Charles", "Daniel", "David", "Edward", "Frank", "George", "Hans", "Henry", "James", "Jean", "John", "José", "Michael", "Paul", "Peter", "Pierre", "Richard", "Robert", "Stefan", "Thomas", "William"),
     ("f", "cyrillic"): ("Анна", "Вера", "Елена", "Ирина", "Мария", "Наталья", "Ольга", "Татьяна"),
     ("m", "cyrillic"): ("Александр", "Алексей", "Борис", "Дмитрий", "Иван", "Михаил", "Николай", "Сергей"),
 }
@@ -42,19 +42,21 @@ _names = "|".join(n for names in FIRST_NAMES.values() for n in names)
 _titles = "|".join(MALE_TITLES + FEMALE_TITLES + OTHER_TITLES)
 _surname = r"\p{Lu}\p{L}+(?:[-'’]\p{Lu}\p{L}+)?"
 _octet = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-PATTERN = "|".join(
+_email = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"
+_secret = r"(?<=[=:\"' \t])(?=[0-9A-Za-z_\-]{16})(?<=(?i:token|secret|api_key|apikey|password|passwd)[ \t]{0,3}[=:][ \t]{0,3}[\"']?)[0-9A-Za-z_\-]{16,}"
+_numbers = "(?=[0-9+(])(?:" + "|".join(
     [
-        r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
-        r"(?<![0-9A-Za-z_\-])(?=[0-9A-Za-z_\-]{16})(?<=(?i:token|secret|api_key|apikey|password|passwd)[ \t]{0,3}[=:][ \t]{0,3}[\"']?)[0-9A-Za-z_\-]{16,}",
         rf"(?<![\w.+\-]){_octet}(?:\.{_octet}){{3}}(?!\.?\w)",
         r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])",
         r"(?<![\w\-])\d(?:[ \-]?\d){12,18}(?![\w\-])",
         r"(?<![\w+])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?\d{2,4}){1,4}(?!\w)",
         r"(?<![\w+])\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}(?!\w)",
         r"(?<![\w+.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\w\-])",
-        rf"(?<![\p{{L}}\p{{N}}])(?:(?:{_titles})\.? (?:(?:{_names}) )?|(?:{_names}) ){_surname}",
     ]
-)
+) + ")"
+_starts = "".join(sorted({n[0] for n in f"{_names}|{_titles}".split("|")}))
+_person = rf"(?=[{_starts}])(?<![\p{{L}}\p{{N}}])(?:(?:{_titles})\.? (?:(?:{_names}) )?|(?:{_names}) ){_surname}"
+PATTERN = "|".join([_email, _secret, _numbers, _person])
 KINDS = ("email", "secret", "ip", "ssn", "card", "phone", "name")
 _TRIES = 30
 
@@ -199,7 +201,9 @@ def surrogate(x: Column, key: str, attempt) -> Column:
 
 
 def matches(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
+    """All matches of PATTERN. Texts without an @ can have no address, and those without digits or assignments only names: shorter patterns find the same there."""
+    found = lambda *parts: F.regexp_extract_all(text, F.lit("|".join(parts)), F.lit(0))
+    return F.when(text.contains("@"), found(PATTERN)).when(text.rlike("[0-9=:]"), found(_secret, _numbers, _person)).otherwise(found(_person))
 
 
 def entities(df: DataFrame, text_col: str = "text") -> DataFrame:

@@ -113,10 +113,10 @@ def luhn(s):
 
 def test_surrogates_keep_kind_form_and_identity(spark):
     new, found = replaced(spark, [TEXT])[0]
-    assert len(found) == 15 - 1 or len(found) == 13
+    assert len(found) == 14
     shape = lambda s: re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", re.sub(r"\d", "0", s)))
     mails = re.findall(r"\S+@\S+\w", new)
-    assert mails[0] != mails[1] and mails[0].lower() == mails[1] and shape(mails[0]).startswith("Aaa.Aaa00@aaaa.example.org")
+    assert mails[0] != mails[1] and mails[0].lower() == mails[1] and mails[0].endswith(".example.org") and shape(mails[0]).startswith("Aaa.Aaa00@aaaa.")
     phones = re.search(r"call (\+1 \(\d{3}\) \d{3}-\d{4}) or (\d{3}-\d{3}-\d{4})", new)
     assert re.sub(r"\D", "", phones[1])[1:] == re.sub(r"\D", "", phones[2]) != "1835551276"
     cards = re.search(r"Card (\d{4} \d{4} \d{4} \d{4}) and (\d{16}), not 1234567890123456", new)
@@ -208,6 +208,11 @@ def test_any_markup_parses(source):
     assert isinstance(text(source), str)
 
 
+@pytest.mark.parametrize("label", ["class='top-menu'", "id=sideBar class=x", "class=adBox", "class='ad-12'", "role=navigation", "hidden", "style='color:red; display: none'", "class='post-comments'", "id='cookieNotice'", "class='newsletter signup'"])
+def test_labels_that_rule_out(label):
+    assert text(f"<body><article><p>a</p><div {label}><p>gone</p></div><section {label}>gone</section><p class=lead>b</p></article>") == "a\nb"
+
+
 def test_host():
     assert [sitetree.host_of(u) for u in ("http://User@A.example.org:80/x", "//b.c?q", "nothing", None, "https://x#y")] == ["a.example.org", "b.c", "", "", "x"]
 
