@@ -14,7 +14,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,9 +22,11 @@ from pyspark.sql.types import LongType, StructField, StructType
 from .common import in_arrow, local_components, prepare, spare, stored, texts
 from .components import components
 
-SAMPLE = 65536
-#: Fingerprints of the sample in a shard; shards number SAMPLE / LEAF = 4096 at most.
+SAMPLE = 1 << 18
+#: Fingerprints of the sample in a shard; shards number about SAMPLE / LEAF = 16384 at most.
 LEAF = 16
+#: Fingerprints that go down the tree at once.
+ROUTED = 1 << 16
 #: Within a shard, blocks of up to this many fingerprints are compared pair by pair.
 BLOCK = 1024
 
@@ -143,21 +144,31 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     step = max(8, -(-n // SAMPLE))
     sample = distinct.where(F.pmod(F.xxhash64("fp", F.lit(11)), F.lit(step)) == 0).toPandas()["fp"]
     nodes = grow(np.unique(sample.to_numpy(np.int64).view(np.uint64)), radius)
-    tree = spark.sparkContext.broadcast(nodes)  # at most 4096 shards
-
-    def send(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        fp = b.column(0).to_numpy()
-        at, shard = route(tree.value, fp.view(np.uint64), radius)
-        yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(fp[at])], names=["shard", "fp"])
-
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        fp = np.unique(pdf["fp"].to_numpy(np.int64).view(np.uint64))
+    tree = spark.sparkContext.broadcast(nodes)  # bounded by the sample
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def give(fp: np.ndarray) -> pa.RecordBatch:
+            at, shard = route(tree.value, fp.view(np.uint64), radius)
+            return pa.RecordBatch.from_arrays([pa.array(shard), pa.array(fp[at])], names=["shard", "fp"])
+
+        some, n = [], 0
+        for b in batches:
+            some.append(b.column(0).to_numpy())
+            n += len(some[-1])
+            if n >= ROUTED:
+                yield give(np.concatenate(some))
+                some, n = [], 0
+        if n:
+            yield give(np.concatenate(some))
+
+    def meet(t: pa.Table) -> pa.Table:
+        fp = np.unique(t.column("fp").to_numpy().view(np.uint64))
         i, j = pairs_within(fp, radius)
         lab = local_components(len(fp), i, j)
         on = np.flatnonzero(lab != np.arange(len(fp)))
-        return pd.DataFrame({"a": fp[on].view(np.int64), "b": fp[lab[on]].view(np.int64)})
+        return pa.table({"a": fp[on].view(np.int64), "b": fp[lab[on]].view(np.int64)})
 
-    return in_arrow(distinct.select("fp"), send, "shard long, fp long").groupBy("shard").applyInPandas(meet, "a long, b long")
+    return distinct.select("fp").mapInArrow(send, "shard long, fp long").groupBy("shard").applyInArrow(meet, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
