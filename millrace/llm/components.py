@@ -2,9 +2,9 @@
 
 Each round rewrites the links so that nodes point at smaller ones: first every larger neighbour, then
 every smaller one, is linked to the smallest node known around it. The links end as one star for each
-component. Minima are pre-aggregated before they are shuffled, and the joins stand alone in their
-stages, so a node with very many links is split by adaptive execution and never meets in one task.
-Rounds are checkpointed in the shared folder.
+component. Minima are pre-aggregated before they are shuffled, and are checkpointed before they are
+joined: both sides of the joins are then plain shuffles, which adaptive execution splits where a node
+has very many links. All checkpoints are in the shared folder.
 """
 
 from __future__ import annotations
@@ -18,9 +18,9 @@ from .common import checkpointed
 def _rewrite(links: DataFrame) -> DataFrame:
     """One large and one small star over links (a > b)."""
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-    low = large.groupBy("a").agg(F.min("b").alias("m"))
+    low = checkpointed(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
+    large = checkpointed(both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+    low = checkpointed(large.groupBy("a").agg(F.min("b").alias("m")))
     small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*")
     return small.where("a > b").distinct()
 

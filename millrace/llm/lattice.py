@@ -29,6 +29,8 @@ from .components import components
 TABLES, GROUPS, PROBES = 18, 3, 7
 #: Lattice scale for 64 dimensions and a cosine of 0.95.
 SCALE = 3.25
+#: Ids of up to this many cells with company are broadcast to find the vectors in them; more are joined by a shuffle.
+BROADCAST_CELLS = 1_000_000
 #: Rows of a block of a large cell.
 BLOCK = 1024
 
@@ -150,10 +152,13 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
                 k = cells(x)
                 yield pa.RecordBatch.from_arrays([pa.array(k.reshape(-1)), pa.array(np.repeat(ids[at + rows], k.shape[1]))], names=["cell", "gid"])
 
-    entered = stored(in_arrow(reps.select("gid", "v"), enter, "cell long, gid long").distinct(), "lattice-cells")
-    members = entered.groupBy("cell").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("gid")).alias("x"), F.sum(F.xxhash64("gid", F.lit(1)).cast("decimal(38,0)")).alias("s")).where("n > 1")
+    entered = stored(in_arrow(reps.select("gid", "v"), enter, "cell long, gid long"), "lattice-cells")
+    shared = stored(entered.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell"), "lattice-shared")
+    shared = F.broadcast(shared) if shared.count() <= BROADCAST_CELLS else shared
+    inside = stored(entered.join(shared, "cell").distinct(), "lattice-inside")
+    members = inside.groupBy("cell").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("gid")).alias("x"), F.sum(F.xxhash64("gid", F.lit(1)).cast("decimal(38,0)")).alias("s")).where("n > 1")
     used = members.groupBy("n", "x", "s").agg(F.min("cell").alias("cell")).select("cell", "n")
-    held = stored(entered.join(used, "cell"), "lattice-held")
+    held = stored(inside.join(stored(used, "lattice-used"), "cell"), "lattice-held")
     own = held.groupBy("gid").agg(F.array_sort(F.collect_set("cell")).alias("cells"))  # at most TABLES * (1 + PROBES)
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("gid", F.lit(2)), blocks).cast("int")
