@@ -59,7 +59,7 @@ def _coder(path: str, pattern: str):
 def pack(parts: list[bytes]) -> bytes:
     """Byte strings as one compressed string."""
     size = np.fromiter(map(len, parts), np.uint32, len(parts))
-    return zstandard.ZstdCompressor(3).compress(np.uint32(len(parts)).tobytes() + size.tobytes() + b"".join(parts))
+    return zstandard.ZstdCompressor(9).compress(np.uint32(len(parts)).tobytes() + size.tobytes() + b"".join(parts))
 
 
 def unpack(blob: bytes) -> list[bytes]:
@@ -70,6 +70,33 @@ def unpack(blob: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip([4 + 4 * n, *ends], ends, strict=False)]
 
 
+def pack_words(words: list[bytes], shared: np.ndarray) -> bytes:
+    """Sorted words without the bytes, given by their number, that each shares with the one before."""
+    rest = [w[k:] for w, k in zip(words, shared.tolist(), strict=True)]
+    return pack([shared.astype(np.uint8).tobytes(), *_planes(np.fromiter(map(len, rest), np.uint32, len(rest))), b"".join(rest)])
+
+
+def unpack_words(blob: bytes) -> list[bytes]:
+    shared, *size, rest = unpack(blob)
+    ends = np.cumsum(_from_planes(size), dtype=np.int64)
+    out, last, at = [], b"", 0
+    for k, end in zip(shared, ends.tolist(), strict=True):
+        last = last[:k] + rest[at:end]
+        out.append(last)
+        at = end
+    return out
+
+
+def _shared(words: list[bytes]) -> np.ndarray:
+    """How many of its first 16 bytes each word shares with the one before."""
+    if not words:
+        return np.zeros(0, np.int64)
+    head = np.array(words, "S16").view(np.uint8).reshape(len(words), 16)
+    same = np.cumprod(head[1:] == head[:-1], axis=1, dtype=np.int64).sum(1)
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    return np.concatenate([[0], np.minimum(same, np.minimum(size[1:], size[:-1]))])
+
+
 #: Byte strings that _planes() makes of numbers.
 PLANES = 5
 
@@ -123,10 +150,13 @@ class _Block:
         rank = np.empty(len(words), np.uint32)
         rank[order[np.argsort(-often, kind="stable")]] = np.arange(len(words), dtype=np.uint32)
         blob = pack([*_planes(sizes), *_planes(often), *_planes(rank[flat])])
-        packs, edges = {}, np.searchsorted(bucket[order], np.arange(self.buckets + 1))
+        packs, edges = {}, np.searchsorted(bucket[order], np.arange(self.buckets + 1)).tolist()
+        words = [words[i] for i in order]
+        shared = _shared(words)
         for k in range(self.buckets):
             if edges[k] < edges[k + 1]:
-                packs[k] = pack([words[i] for i in order[edges[k] : edges[k + 1]]])
+                shared[edges[k]] = 0
+                packs[k] = pack_words(words[edges[k] : edges[k + 1]], shared[edges[k] : edges[k + 1]])
         return int(np.uint64(xxhash.xxh64_intdigest(blob + repr(self.rows).encode())).view(np.int64)), self.rows, blob, packs
 
 
@@ -174,7 +204,7 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
             out = []
             for body in b.column("body"):
                 got = []
-                for w in unpack(body.as_py()):
+                for w in unpack_words(body.as_py()):
                     if (ids := known.get(w)) is None:
                         if len(known) >= 500_000:  # bounds memory only
                             known.clear()
