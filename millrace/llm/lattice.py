@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow, local_components, prepare, stored
+from .common import in_arrow, local_components, prepare, release, stored
 from .components import components
 
 TABLES, GROUPS, PROBES = 18, 3, 7
@@ -103,30 +103,64 @@ def _by_length(v: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield rows, _unit(flat[(at[rows][:, None] + np.arange(dim)).reshape(-1)], int(dim))
 
 
-def _compare(key: int, a: dict, b: dict | None, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links of one block with itself (b None) or of two blocks: (ids, other vectors linked, smallest id linked here).
+class _Rows:
+    """Rows of a cell as arrays: id, m, block, vectors and cell lists, the last two flat with their lengths."""
+
+    def __init__(self, **columns: np.ndarray):
+        self.__dict__.update(columns)
+
+    @classmethod
+    def of(cls, b: pa.RecordBatch) -> _Rows:
+        flat = lambda c: b.column(c).flatten().to_numpy(zero_copy_only=False)
+        size = lambda c: np.diff(b.column(c).offsets.to_numpy())
+        one = {c: b.column(c).to_numpy() for c in ("gid", "m", "block")}
+        return cls(**one, v=flat("v"), v_size=size("v"), cells=flat("cells"), cells_size=size("cells"))
+
+    def ends(self) -> None:
+        self.v_end, self.cells_end = (np.concatenate([[0], np.cumsum(x)]) for x in (self.v_size, self.cells_size))
+
+    def cut(self, a: int, b: int) -> _Rows:
+        one = {c: getattr(self, c)[a:b] for c in ("gid", "m", "block", "v_size", "cells_size")}
+        return _Rows(**one, v=self.v[self.v_end[a] : self.v_end[b]], cells=self.cells[self.cells_end[a] : self.cells_end[b]])
+
+    @classmethod
+    def joined(cls, parts: list[_Rows]) -> _Rows:
+        return parts[0] if len(parts) == 1 else cls(**{c: np.concatenate([getattr(p, c) for p in parts]) for c in ("gid", "m", "block", "v_size", "cells_size", "v", "cells")})
+
+    def take(self, at: np.ndarray) -> _Rows:
+        self.ends()
+        pick = lambda x, end, size: np.concatenate([x[:0], *[x[end[i] : end[i] + size[i]] for i in at]])
+        one = {c: getattr(self, c)[at] for c in ("gid", "m", "block", "v_size", "cells_size")}
+        return _Rows(**one, v=pick(self.v, self.v_end, self.v_size), cells=pick(self.cells, self.cells_end, self.cells_size))
+
+
+def _compare(key: tuple[int, int, int], c: _Rows, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links within a block of a cell, or between two blocks: (ids, other vectors linked, smallest id linked here).
 
     Pairs that meet in a smaller cell as well aren't counted here."""
-    c = a if b is None else {k: np.concatenate([a[k], b[k]]) if k != "cells" else a[k] + b[k] for k in a}
-    n, split = len(c["id"]), len(a["id"])
-    hit = c["x"] @ c["x"].T >= cosine
-    if b is None:
-        np.fill_diagonal(hit, False)
-    else:
-        hit[:split, :split] = hit[split:, split:] = False
-    before = {k: i for i, k in enumerate(sorted({x for own in c["cells"] for x in own if x < key}))}
-    count = hit
-    if before and hit.any():
-        z = np.zeros((n, len(before)), np.float32)
-        for i, own in enumerate(c["cells"]):
-            z[i, [before[x] for x in own if x < key]] = 1
+    if len(np.unique(c.v_size)) > 1:  # lengths don't mix
+        parts = [_compare(key, c.take(np.flatnonzero(c.v_size == k)), cosine) for k in np.unique(c.v_size)]
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+    n = len(c.gid)
+    x = _unit(c.v, int(c.v_size[0]))
+    hit = x @ x.T >= cosine
+    np.fill_diagonal(hit, False)
+    if key[1] != key[2]:
+        hit &= c.block[:, None] != c.block[None, :]
+    i, j = np.nonzero(hit)
+    if not len(i):
+        return c.gid, np.zeros(n, np.int64), c.gid
+    count, before = hit, c.cells < key[0]
+    if before.any():
+        cell, at = np.unique(c.cells[before], return_inverse=True)
+        z = np.zeros((n, len(cell)), np.float32)
+        z[np.repeat(np.arange(n), c.cells_size)[before], at] = 1
         count = hit & (z @ z.T == 0)
-    i, j = np.nonzero(np.triu(hit))
-    order = np.argsort(c["id"], kind="stable")  # the component's smallest index is then its smallest id
+    order = np.argsort(c.gid, kind="stable")  # the smallest index of a component is then its smallest id
     rank = np.empty(n, np.int64)
     rank[order] = np.arange(n)
-    root = c["id"][order][local_components(n, rank[i], rank[j])[rank]]
-    return c["id"], count @ c["m"], root
+    up = i < j
+    return c.gid, count @ c.m, c.gid[order][local_components(n, rank[i[up]], rank[j[up]])[rank]]
 
 
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = 0.95) -> DataFrame:
@@ -169,18 +203,6 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["gid", "n", "root"]
 
-        def done(part: list[pa.RecordBatch], key: tuple[int, int, int]) -> Iterator[tuple]:
-            t = pa.Table.from_batches(part).combine_chunks()
-            v, ids, m, block = (t.column(c).combine_chunks() for c in ("v", "gid", "m", "block"))
-            ids, m, block, lists = ids.to_numpy(), m.to_numpy(), block.to_numpy(), t.column("cells").to_pylist()
-            for rows, x in _by_length(v):
-                pick = lambda on: {"id": ids[rows][on], "m": m[rows][on], "x": x[on], "cells": [lists[r] for r in rows[on]]}  # noqa: B023, E731
-                one, two = block[rows] == key[1], block[rows] == key[2]
-                if key[1] == key[2]:
-                    yield _compare(key[0], pick(one), None, cosine)
-                elif one.any() and two.any():
-                    yield _compare(key[0], pick(one), pick(two), cosine)
-
         def give(out: list[tuple]) -> pa.RecordBatch:
             g, n, r = (np.concatenate([o[k] for o in out]) for k in range(3))
             on = (n > 0) | (g != r)
@@ -188,22 +210,27 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
 
         part, now, out = [], None, []
         for b in batches:
+            if not b.num_rows:
+                continue
             key = np.stack([b.column(c).to_numpy() for c in ("cell", "one", "two")], 1)
             edges = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
+            rows = _Rows.of(b)
+            rows.ends()
             for s, e in zip(edges[:-1], edges[1:], strict=True):
                 k = tuple(key[s].tolist())
                 if k != now and part:
-                    out += done(part, now)
+                    out.append(_compare(now, _Rows.joined(part), cosine))
                     part = []
                 now = k
-                part.append(b.slice(s, e - s))
+                part.append(rows.cut(s, e))
             if len(out) > 1000:
                 yield give(out)
                 out = []
         if part:
-            out += done(part, now)
+            out.append(_compare(now, _Rows.joined(part), cosine))
         if out:
             yield give(out)
+        release()
 
     found = stored(full.mapInArrow(verify, "gid long, n long, root long"), "lattice-links")
     sums = found.groupBy("gid").agg(F.sum("n").alias("n"))
