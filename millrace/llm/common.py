@@ -69,6 +69,30 @@ def texts(df: DataFrame, *cols: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in cols])
 
 
+class Splitter:
+    """findall() and finditer() of a pattern that names letters, numbers and white space by their Unicode classes.
+
+    White space is as Unicode defines it. Texts of ASCII characters alone go through the same pattern with
+    ASCII classes, which is faster and finds the same in them.
+    """
+
+    def __init__(self, pattern: str):
+        import re
+
+        import regex
+
+        self.any = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
+        plain = re.sub(r"\[[^\]]*\]", lambda m: m[0].replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9"), pattern)
+        plain = plain.replace(r"\p{L}", "[A-Za-z]").replace(r"\p{N}", "[0-9]")
+        self.ascii = self.any if r"\p" in plain.lower() else re.compile(plain, re.ASCII)
+
+    def findall(self, text: str) -> list[str]:
+        return (self.ascii if text.isascii() else self.any).findall(text)
+
+    def finditer(self, text: str):
+        return (self.ascii if text.isascii() else self.any).finditer(text)
+
+
 def spare(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have (names differ by more than case)."""
     taken = {c.lower() for c in df.columns}

@@ -24,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow, texts
+from .common import Splitter, in_arrow, texts
 
-#: Distinct units whose counts a worker remembers; beyond it they are counted anew.
-REMEMBERED = 400_000
+#: Distinct units whose counts a worker remembers, at least those met last; the others are counted anew.
+REMEMBERED = 500_000
 _counters: dict = {}
 
 
@@ -38,6 +38,23 @@ def _symbols() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+class _Counts(dict):
+    """Counts of units, each found when it is first asked for. Two generations: a full one is kept until the next is full."""
+
+    def __init__(self, count):
+        self.count, self.old = count, {}
+
+    def __missing__(self, unit: str) -> int:
+        n = self.old.get(unit)
+        if n is None:
+            n = self.count(unit)
+        if len(self) >= REMEMBERED:
+            self.old = dict(self)
+            self.clear()
+        self[unit] = n
+        return n
+
+
 class Counter:
     """Prefix counts by one vocabulary file."""
 
@@ -56,13 +73,15 @@ class Counter:
         if any(x["normalized"] or x["single_word"] or x["lstrip"] or x["rstrip"] for x in spec["added_tokens"]):
             raise ValueError("unsupported added token")
         self.library = Tokenizer.from_file(path)
-        self.split = regex.compile(steps[0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
+        self.split = Splitter(steps[0]["pattern"]["Regex"])
         special = sorted((x["content"] for x in spec["added_tokens"]), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.end = spec["model"]["end_of_word_suffix"] or ""
-        self.vocab, self.known = spec["model"]["vocab"], {}
+        self.vocab, self.known = spec["model"]["vocab"], _Counts(self.unit_count)
         self.rank = {tuple(m) if isinstance(m, list) else tuple(m.split(" ")): k for k, m in enumerate(spec["model"]["merges"])}
         self.symbol = _symbols()
+        self.bytes_to_symbols = {b: self.symbol[b] for b in range(256)}
+        self.tokenize = self.library.model.tokenize
         self.merged = lru_cache(1 << 16)(self._merged)
 
     # whole units
@@ -86,38 +105,25 @@ class Counter:
         if at < len(text) or not text:
             yield False, self.normalise(text[at:])
 
-    def learn(self, units: set[str]) -> None:
-        """Counts the units that are not known yet, each once."""
-        if len(self.known) + len(units) > REMEMBERED:
-            self.known = {}
-        new = [u for u in units if u not in self.known]
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            self.known.update(zip(part, (len(e.ids) for e in self.library.encode_batch_fast(part, add_special_tokens=False)), strict=True))
+    def unit_count(self, unit: str) -> int:
+        """The library's tokens of a whole unit."""
+        if not (unit.isascii() and unit.isalnum()):
+            unit = unit.encode("utf-8", "replace").decode("latin-1").translate(self.bytes_to_symbols)
+        return len(self.tokenize(unit))
+
+    def table(self, units: list[str]) -> np.ndarray:
+        """The recurrence over units: each entry is the one before and the tokens of one more unit."""
+        return np.cumsum(np.fromiter(map(self.known.__getitem__, units), np.int64, len(units)))
 
     def totals(self, batch: list[str]) -> list[int]:
-        """The last table entry of each text; the tables themselves are prefixes()."""
-        units, extra = [], []
+        """The last table entry of each text; the tables with their positions are prefixes()."""
+        out = []
         for text in batch:
-            own, n = [], 0
+            n = 0
             for special, s in self.segments(text):
-                if special:
-                    n += 1
-                else:
-                    own += self.split.findall(s)
-            units.append(own)
-            extra.append(n)
-        out, at = [], 0
-        while at < len(units):  # as many texts as the memory of counts can hold at once
-            wanted, to = set(), at
-            while to < len(units) and (to == at or len(wanted) < REMEMBERED // 2):
-                wanted.update(units[to])
-                to += 1
-            self.learn(wanted)
-            for own, n in zip(units[at:to], extra[at:to], strict=True):
-                sums = np.cumsum(np.fromiter(map(self.known.__getitem__, own), np.int64, len(own)))
-                out.append(n + (int(sums[-1]) if len(sums) else 0))
-            at = to
+                sums = [1] if special else self.table(self.split.findall(s))
+                n += int(sums[-1]) if len(sums) else 0
+            out.append(n)
         return out
 
     def prefixes(self, text: str) -> Prefixes:
@@ -128,7 +134,6 @@ class Counter:
             parts.append(s)
             at += len(s)
         whole = "".join(parts)
-        self.learn({whole[a:b] for a, b, special in units if not special})
         counts = np.cumsum([1 if special else self.known[whole[a:b]] for a, b, special in units]) if units else np.zeros(0, np.int64)
         return Prefixes(self, whole, units, counts)
 

@@ -13,6 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from millrace.llm import bpe, flac, langid, prefix_tokens, quality, queries
+from millrace.llm.common import Splitter
 
 BYTE_BPE, WORD_BPE = P.path("byte_bpe_50k.tiktoken"), P.path("word_bpe_49k.json")
 
@@ -251,6 +252,14 @@ def test_bpe_repeated_blocks_and_empty_table(docs_of, coder, spark):
     assert bpe.digests(bpe.encode(docs_of([]), BYTE_BPE, P.PATTERN), BYTE_BPE).count() == 0
 
 
+@given(st.text(st.characters(max_codepoint=127), max_size=60), st.sampled_from([P.PATTERN, r"'s|'t|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"]))
+@settings(max_examples=400, deadline=None)
+def test_ascii_texts_split_alike(text, pattern):
+    s = Splitter(pattern)
+    assert s.ascii is not s.any and s.findall(text) == s.any.findall(text)
+    assert Splitter(r"\p{Lu}+").findall("ABcD") == ["AB", "D"]
+
+
 @given(st.lists(st.integers(0, (1 << 32) - 1) | st.integers(0, 300)))
 def test_planes(x):
     assert bpe._from_planes(bpe._planes(np.array(x, np.uint32))).tolist() == x
