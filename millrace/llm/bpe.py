@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow, prepare, release, stored, texts
+from .common import Splitter, in_arrow, prepare, release, stored, texts
 
 BLOCK_BYTES = 32 << 20
 #: A block's packed positions travel in slices of this many bytes, as rows with buckets -1, -2, ...
@@ -41,13 +41,6 @@ def ranks(path: str) -> dict[bytes, int]:
     return _loaded["ranks", path]
 
 
-def _splitter(pattern: str):
-    """The pattern, with white space as Unicode defines it."""
-    import regex
-
-    return regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
-
-
 def _coder(path: str, pattern: str):
     import tiktoken
 
@@ -57,9 +50,11 @@ def _coder(path: str, pattern: str):
 
 
 def pack(parts: list[bytes]) -> bytes:
-    """Byte strings as one compressed string."""
+    """Byte strings as one compressed string; takes them out of the list."""
     size = np.fromiter(map(len, parts), np.uint32, len(parts))
-    return zstandard.ZstdCompressor(9).compress(np.uint32(len(parts)).tobytes() + size.tobytes() + b"".join(parts))
+    raw = b"".join([np.uint32(len(parts)).tobytes(), size.tobytes(), *parts])
+    parts.clear()
+    return zstandard.ZstdCompressor(9).compress(raw)
 
 
 def unpack(blob: bytes) -> list[bytes]:
@@ -92,7 +87,7 @@ def _shared(words: list[bytes]) -> np.ndarray:
     if not words:
         return np.zeros(0, np.int64)
     head = np.array(words, "S16").view(np.uint8).reshape(len(words), 16)
-    same = np.cumprod(head[1:] == head[:-1], axis=1, dtype=np.int64).sum(1)
+    same = np.cumprod(head[1:] == head[:-1], axis=1, dtype=np.uint8).sum(1, dtype=np.int64)
     size = np.fromiter(map(len, words), np.int64, len(words))
     return np.concatenate([[0], np.minimum(same, np.minimum(size[1:], size[:-1]))])
 
@@ -103,8 +98,8 @@ PLANES = 5
 
 def _planes(x: np.ndarray) -> list[bytes]:
     """The bytes of numbers by significance, highest first; the lowest bytes of numbers under 256 apart from the others."""
-    raw = x.astype("<u4").view(np.uint8).reshape(-1, 4)
-    small = x < 256
+    raw = np.ascontiguousarray(x, "<u4").view(np.uint8).reshape(-1, 4)
+    small = ~raw[:, 1:].any(1)
     return [*(raw[:, k].tobytes() for k in (3, 2, 1)), raw[small, 0].tobytes(), raw[~small, 0].tobytes()]
 
 
@@ -149,7 +144,9 @@ class _Block:
         often = np.bincount(flat, minlength=len(words))[order]
         rank = np.empty(len(words), np.uint32)
         rank[order[np.argsort(-often, kind="stable")]] = np.arange(len(words), dtype=np.uint32)
-        blob = pack([*_planes(sizes), *_planes(often), *_planes(rank[flat])])
+        flat = rank[flat]
+        blob = pack([*_planes(sizes), *_planes(often), *_planes(flat)])
+        del flat, rank, often
         packs, edges = {}, np.searchsorted(bucket[order], np.arange(self.buckets + 1)).tolist()
         words = [words[i] for i in order]
         shared = _shared(words)
@@ -173,7 +170,7 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
     arrow_id = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = _splitter(pattern)
+        split = Splitter(pattern)
         names = ["block", "bucket", "body", "ids"]
 
         def give(b: _Block) -> Iterator[pa.RecordBatch]:

@@ -267,6 +267,6 @@ def test_planes(x):
 
 @given(st.lists(st.binary(max_size=20)))
 def test_packs(x):
-    assert bpe.unpack(bpe.pack(x)) == x
+    assert bpe.unpack(bpe.pack(list(x))) == x
     words = sorted({w + w[:1] * 20 for w in x} | set(x))
     assert bpe.unpack_words(bpe.pack_words(words, bpe._shared(words))) == words
