@@ -181,20 +181,25 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     fps = stored(fingerprints(df, id_col, text_col, shingle), "simhash")
     reps = stored(fps.groupBy("fp").agg(F.min("id").alias("first")), "simhash-reps")
-    joined = components(links(reps.select("fp"), radius))
+    return grouped(fps, components(links(reps.select("fp"), radius)), reps)
+
+
+def grouped(fps: DataFrame, joined: DataFrame, reps: DataFrame | None = None) -> DataFrame:
+    """(id, fp, component_id) of fps(id, fp) by the components joined(node, component) of the fingerprints."""
+    reps = stored(fps.groupBy("fp").agg(F.min("id").alias("first")), "simhash-reps") if reps is None else reps
     named = reps.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
     of = stored(named.join(least, "component").select("fp", "component_id"), "simhash-classes")
     return fps.join(of, "fp").select("id", "fp", "component_id")
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", near=near_duplicates, mark=fingerprint) -> DataFrame:
     """df's rows, as they are, of one document of each group of near duplicates: the one with the smallest id.
 
     An id stands for one document: of rows that share an id, one stays. Rows without an id stay if no row
-    with an id is in their group.
+    with an id is in their group. near gives the groups, mark the fingerprint of a text in them.
     """
-    found = near_duplicates(df, id_col, text_col)
+    found = near(df, id_col, text_col)
     name, row, fp_col = spare(df, "kept"), spare(df, "row"), spare(df, "fp")
     columns = [F.col(f"`{c}`") for c in df.columns]
     kept = found.where("id = component_id").select(F.col("id").alias(name)).distinct()
@@ -205,7 +210,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         text = b.column(b.schema.get_field_index(text_col)).to_pylist()
-        fp = np.array([fingerprint((t or "").encode(), shingle=3) for t in text], np.uint64)
+        fp = np.array([mark((t or "").encode()) for t in text], np.uint64)
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp.view(np.int64))], names=[*b.schema.names, fp_col])
 
     unnamed = df.where(F.col(f"`{id_col}`").isNull())
