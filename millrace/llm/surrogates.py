@@ -48,7 +48,7 @@ _numbers = "(?=[0-9+(])(?:" + "|".join(
     [
         rf"(?<![\w.+\-]){_octet}(?:\.{_octet}){{3}}(?!\.?\w)",
         r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])",
-        r"(?<![\w\-])\d(?:[ \-]?\d){12,18}(?![\w\-])",
+        r"(?<![\w\-])(?=\d(?:[ \-]?\d){12})(?!\d(?:-?\d){19}|[\d\-]*--)\d[\d \-]*\d(?![\w\-]|\.\d+\.\d)",
         r"(?<![\w+])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?\d{2,4}){1,4}(?!\w)",
         r"(?<![\w+])\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}(?!\w)",
         r"(?<![\w+.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\w\-])",
@@ -86,15 +86,53 @@ def _luhn_sum(digits: Column, offset: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), add)
 
 
+def _is_card(x: Column) -> Column:
+    return _let(_only(x, "0-9"), lambda digits: digits.rlike("^(?:[3-6]|2[2-7])") & (_luhn_sum(digits, 0) % 10 == 0))
+
+
+_usual = r"^(?:\d{13,19}|\d{4}([ \-])\d{4}\1\d{4}\1\d{4}(?:\1\d{3})?|\d{4}([ \-])\d{6}\2\d{4,5})$"
+
+
+def _inside(x: Column, usual: bool) -> Column:
+    """A pattern of the entities in a row of numbers: cards in a usual grouping, longest first, or else a card in any grouping if it is the whole row (parts of any grouping would often have a right Luhn sum by chance), and other kinds."""
+    if usual:
+        some = [F.regexp_extract_all(x, F.lit(rf"(?<![\d\-])(?=(\d(?:[ \-]?\d){{{n - 1}}})(?![\d\-]))"), F.lit(1)) for n in range(19, 12, -1)]
+        cards = F.filter(F.array_distinct(F.concat(*some)), lambda c: c.rlike(_usual) & _is_card(c))
+    else:
+        cards = F.filter(F.array(F.trim(x)), lambda c: c.rlike(r"^\d(?:[ \-]?\d){12,18}$") & _is_card(c))
+    others = ["(?!)"] if usual else [r"\d{3}-\d{2}-\d{4}", r"\d{3}-\d{3}-\d{4}"]
+    return F.concat(F.lit(r"(?<![\d\-])(?:"), F.array_join(F.concat(cards, F.array(*map(F.lit, others))), "|"), F.lit(r")(?![\d\-])"))
+
+
+def _by_row(x: Column, f, g) -> Column:
+    """The array of f(between, card or null) along the cards of x in a usual grouping; between is the array of g(text, entity or null) along the other entities there."""
+
+    def at(y: Column, usual: bool, h) -> Column:
+        return _let(_inside(y, usual), lambda p: F.zip_with(F.split(y, p, -1), F.regexp_extract_all(y, p, F.lit(0)), h))
+
+    return at(x, True, lambda a, b: f(at(a, False, g), b))
+
+
+def _in_row(x: Column) -> Column:
+    """Whether a match is a row of numbers with blanks between."""
+    return x.rlike(r"^\d[\d\-]* [\d \-]*$")
+
+
+def parts(x: Column) -> Column:
+    """The entities in a match: itself, or those in a row of numbers, where a card may stand behind or before others."""
+    inside = _by_row(x, lambda some, b: F.concat(some, F.array(b)), lambda a, b: b)
+    return F.when(_in_row(x), F.array_compact(F.flatten(inside))).otherwise(F.array(x))
+
+
 def kind_of(x: Column) -> Column:
-    """The kind of a match of PATTERN; null for a number that only looks like one of a payment card."""
-    card = _let(_only(x, "0-9"), lambda digits: digits.rlike("^(?:[3-6]|2[2-7])") & (_luhn_sum(digits, 0) % 10 == 0))
+    """The kind of a part of a match of PATTERN (parts()); null for a number that only looks like one of a payment card."""
     return (
         F.when(x.contains("@"), "email")
         .when(x.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$"), "ip")
         .when(x.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
         .when(x.rlike(r"^(?:\+|\(|\d{3}[.\-]\d{3}[.\-]\d{4}$)"), "phone")
-        .when(x.rlike(r"^\d(?:[ \-]?\d){12,18}$"), F.when(card, "card"))
+        .when(x.rlike(r"^\d(?:[ \-]?\d){12,18}$"), F.when(_is_card(x), "card"))
+        .when(x.rlike(r"^(?:[\d \-]* [\d \-]*|\d[\d\-]{0,14})$"), None)
         .when(x.contains(" "), "name")
         .otherwise("secret")
     )
@@ -197,7 +235,11 @@ def surrogate(x: Column, key: str, attempt) -> Column:
         return F.when(i == F.size(F.split(x, " ")) - 1, one(F.lit("surname"), w)).when(_is_title(w), w).otherwise(F.coalesce(_first_name(w, key), w))
 
     name = F.array_join(F.transform(F.split(x, " "), word), " ")
-    return _let(kind_of(x), lambda kind: F.when(kind.isNull(), x).when(kind == "name", name).otherwise(one(kind, x)))
+    whole = _let(kind_of(x), lambda kind: F.when(kind.isNull(), x).when(kind == "name", name).otherwise(one(kind, x)))
+
+    new = lambda y: F.when(y.isNull(), "").otherwise(_let(kind_of(y), lambda kind: one(kind, y)))
+    inside = _by_row(x, lambda some, b: F.concat(F.array_join(some, ""), new(b)), lambda a, b: F.concat(a, new(b)))
+    return F.when(_in_row(x), F.array_join(inside, "")).otherwise(whole)
 
 
 def matches(text: Column) -> Column:
@@ -208,7 +250,7 @@ def matches(text: Column) -> Column:
 
 def entities(df: DataFrame, text_col: str = "text") -> DataFrame:
     """(kind, canon): all different entities, names by their surnames."""
-    x = df.select(F.explode(matches(F.col(f"`{text_col}`"))).alias("x")).withColumn("kind", kind_of(F.col("x"))).where("kind is not null")
+    x = df.select(F.explode(F.flatten(F.transform(matches(F.col(f"`{text_col}`")), parts))).alias("x")).withColumn("kind", kind_of(F.col("x"))).where("kind is not null")
     named = F.col("kind") == "name"
     x = x.select(F.when(named, "surname").otherwise(F.col("kind")).alias("kind"), F.when(named, F.substring_index("x", " ", -1)).otherwise(F.col("x")).alias("x"))
     return x.select("kind", canonical(F.col("x"), F.col("kind")).alias("canon")).distinct()
@@ -241,7 +283,7 @@ def _replaced(text: Column, found: Column, key: str, attempt) -> Column:
 
 
 def pseudonymise(df: DataFrame, key: str, text_col: str = "text", found_col: str = "pii_found") -> DataFrame:
-    """df with text_col replaced, and found_col, the matches as they were (null for a null text).
+    """df with text_col replaced, and found_col, the matches as they were, of a row of numbers its entities (null for a null text).
 
     Rows keep their other columns, but for one named found_col; repeated rows stay repeated. Null texts
     stay null, empty ones empty; an empty table gives no rows.
@@ -255,15 +297,15 @@ def pseudonymise(df: DataFrame, key: str, text_col: str = "text", found_col: str
     if len(some) <= LITERAL:
         table = F.create_map(*[F.lit(v) for r in some for v in (f"{r['kind']}|{r['canon']}", r["attempt"])]) if some else None
         attempt = lambda kind, canon: F.coalesce(table[F.concat(kind, F.lit("|"), canon)], F.lit(0)) if some else F.lit(0)
-        return docs.withColumn(text_col, _replaced(text, found, key, attempt))
+        return docs.withColumn(text_col, _replaced(text, found, key, attempt)).withColumn(found_col, F.flatten(F.transform(found, parts)))
     # many: the texts that hold such entities get their attempt numbers by a join
     name, tries = spare(docs, "text_sha"), spare(docs, "tries")
     sha = F.sha2(text.cast("binary"), 256)
-    x = docs.select(sha.alias("sha"), F.explode(found).alias("x")).withColumn("kind", kind_of(F.col("x"))).where("kind is not null")
+    x = docs.select(sha.alias("sha"), F.explode(F.flatten(F.transform(found, parts))).alias("x")).withColumn("kind", kind_of(F.col("x"))).where("kind is not null")
     named = F.col("kind") == "name"
     x = x.select("sha", F.when(named, "surname").otherwise(F.col("kind")).alias("kind"), F.when(named, F.substring_index("x", " ", -1)).otherwise(F.col("x")).alias("x"))
     x = x.select("sha", "kind", canonical(F.col("x"), F.col("kind")).alias("canon")).distinct().join(retry, ["kind", "canon"])
     tables = x.groupBy(F.col("sha").alias(name)).agg(F.map_from_entries(F.collect_list(F.struct(F.concat("kind", F.lit("|"), "canon"), "attempt"))).alias(tries))
     docs = docs.withColumn(name, F.when(F.size(found) > 0, sha)).join(tables, name, "left")
     attempt = lambda kind, canon: F.coalesce(F.col(f"`{tries}`")[F.concat(kind, F.lit("|"), canon)], F.lit(0))
-    return docs.withColumn(text_col, _replaced(text, found, key, attempt)).drop(name, tries)
+    return docs.withColumn(text_col, _replaced(text, found, key, attempt)).withColumn(found_col, F.flatten(F.transform(found, parts))).drop(name, tries)
