@@ -11,7 +11,9 @@ with a known first name: first names change within their gender and script, surn
 
 Distinct entities must get distinct replacements, and none may be another entity of the corpus. All
 distinct entities are checked against both; those in conflict, but for the smallest of equals, try
-again with the next attempt number, until none is in conflict. Replacements are computed in place; only
+again with the next attempt number, until none is in conflict. Short phone numbers, of which a corpus may
+hold every one, grow by a group of digits then; what is in conflict after all attempts becomes a tag of
+its kind and keyed hash. Replacements are computed in place; only
 attempts other than the first are looked up, as a literal map, or by a join if there are many.
 """
 
@@ -42,7 +44,8 @@ _names = "|".join(n for names in FIRST_NAMES.values() for n in names)
 _titles = "|".join(MALE_TITLES + FEMALE_TITLES + OTHER_TITLES)
 _surname = r"\p{Lu}\p{L}+(?:[-'’]\p{Lu}\p{L}+)?"
 _octet = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-_email = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"
+# Host names have labels of up to 63 characters, at most 127 of them: the bounds keep the pattern's recursion shallow.
+_email = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]{1,63}+(?:\.[A-Za-z0-9\-]{1,63}){0,125}\.[A-Za-z]{2,63}"
 _secret = r"(?<=[=:\"' \t])(?=[0-9A-Za-z_\-]{16})(?<=(?i:token|secret|api_key|apikey|password|passwd)[ \t]{0,3}[=:][ \t]{0,3}[\"']?)[0-9A-Za-z_\-]{16,}"
 _numbers = "(?=[0-9+(])(?:" + "|".join(
     [
@@ -59,6 +62,8 @@ _person = rf"(?=[{_starts}])(?<![\p{{L}}\p{{N}}])(?:(?:{_titles})\.? (?:(?:{_nam
 PATTERN = "|".join([_email, _secret, _numbers, _person])
 KINDS = ("email", "secret", "ip", "ssn", "card", "phone", "name")
 _TRIES = 30
+#: A phone number with up to this many national digits gets `_MORE` digits in addition from attempt `_LONGER` on: a corpus may hold all short ones.
+_SHORT, _MORE, _LONGER = 7, 6, 3
 
 
 def _let(x: Column, f) -> Column:
@@ -67,7 +72,7 @@ def _let(x: Column, f) -> Column:
 
 
 def _chars(x: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.substr(x, i, F.lit(1)))
+    return F.split(x, "")
 
 
 def _only(x: Column, keep: str) -> Column:
@@ -189,7 +194,10 @@ def _replacement(kind: Column, canon: Column, attempt: Column, secret: Column) -
         return F.array_join(F.transform(F.sequence(F.lit(0), 2 + F.floor(attempt / 3).cast("int")), lambda i: F.element_at(parts, _draw(secret, i) % len(SYLLABLES[script]) + 1)), "")
 
     surname = F.when(_script(canon) == "cyrillic", syllables("cyrillic")).otherwise(syllables("latin"))
-    return F.when(kind == "email", email).when(kind == "ip", octets).when(kind == "card", card).when(kind == "surname", surname).otherwise(_alike(canon, secret))
+    tail = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(_MORE - 1)), lambda i: (_draw(secret, i + 16) % 10).cast("string")), "")
+    longer = (kind == "phone") & (F.length(canon) <= _SHORT) & (attempt >= _LONGER)
+    last = F.concat(F.lit("["), kind, F.lit("-"), F.substr(secret, F.lit(1), F.lit(32)), F.lit("]"))
+    return F.when(attempt < 0, last).when(longer, F.concat(_alike(canon, secret), tail)).when(kind == "email", email).when(kind == "ip", octets).when(kind == "card", card).when(kind == "surname", surname).otherwise(_alike(canon, secret))
 
 
 def _script(x: Column) -> Column:
@@ -199,14 +207,16 @@ def _script(x: Column) -> Column:
 def _in_form(x: Column, kind: Column, new: Column) -> Column:
     """A canonical replacement in the form of x: its separators, country code and letter case."""
 
+    own = F.length(canonical(x, kind))  # the digits that change; more than these come behind, as a group of their own
+
     def digit(c: Column, i: Column) -> Column:
         behind = F.length(_only(F.substr(x, i + 2), "0-9"))
-        return _let(behind, lambda n: F.when(c.rlike("[0-9]") & (n < F.length(new)), F.substr(new, F.length(new) - n, F.lit(1))).otherwise(c))
+        return _let(behind, lambda n: F.when(c.rlike("[0-9]") & (n < own), F.substr(new, own - n, F.lit(1))).otherwise(c))
 
-    numbers = F.array_join(F.transform(_chars(x), digit), "")
+    numbers = F.concat(F.array_join(F.transform(_chars(x), digit), ""), F.when(F.length(new) > own, F.concat(F.lit(" "), F.substr(new, own + 1, F.lit(3)), F.lit(" "), F.substr(new, own + 4))).otherwise(""))
     cased = F.when(x == F.upper(x), F.upper(new)).when(x == F.lower(x), new).otherwise(F.initcap(new))
-    mixed = F.array_join(F.transform(_chars(new), lambda c, i: F.when((i < F.length(x)) & F.substr(x, i + 1, F.lit(1)).rlike("[A-Z]"), F.upper(c)).otherwise(c)), "")
-    return F.when(kind.isin("phone", "ssn", "card"), numbers).when(kind == "surname", cased).when(kind == "email", mixed).otherwise(new)
+    mixed = F.array_join(F.zip_with(_chars(new), _chars(x), lambda c, old: F.when(old.rlike("[A-Z]"), F.upper(c)).otherwise(c)), "")
+    return F.when(new.startswith("["), new).when(kind.isin("phone", "ssn", "card"), numbers).when(kind == "surname", cased).when(kind == "email", mixed).otherwise(new)
 
 
 def _first_name(x: Column, key: str) -> Column:
@@ -257,7 +267,7 @@ def entities(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def attempts(found: DataFrame, key: str) -> DataFrame:
-    """(kind, canon, attempt) of the entities whose first replacement is not free."""
+    """(kind, canon, attempt) of the entities whose first replacement is not free; attempt -1 for those that `_TRIES` of them left in conflict, which get a tag with their hash."""
     real = stored(found, "pii-entities")
     now = real.withColumn("attempt", F.lit(0))
     for _ in range(_TRIES):
@@ -268,8 +278,9 @@ def attempts(found: DataFrame, key: str) -> DataFrame:
         clash = checkpointed(clash)
         if clash.isEmpty():
             return now.where("attempt > 0")
-        now = checkpointed(now.join(clash.withColumn("again", F.lit(1)), ["kind", "canon"], "left").select("kind", "canon", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt")))
-    raise RuntimeError("replacements still collide: the entities use up their form's space")
+        again = clash.withColumn("again", F.lit(1))
+        now = checkpointed(now.join(again, ["kind", "canon"], "left").select("kind", "canon", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt")))
+    return now.select("kind", "canon", F.when(F.col("attempt") >= _TRIES, -1).otherwise(F.col("attempt")).alias("attempt")).where("attempt <> 0")
 
 
 #: Attempt numbers of up to this many entities are looked up in a literal map.
@@ -285,8 +296,11 @@ def _replaced(text: Column, found: Column, key: str, attempt) -> Column:
 def pseudonymise(df: DataFrame, key: str, text_col: str = "text", found_col: str = "pii_found") -> DataFrame:
     """df with text_col replaced, and found_col, the matches as they were, of a row of numbers its entities (null for a null text).
 
-    Rows keep their other columns, but for one named found_col; repeated rows stay repeated. Null texts
-    stay null, empty ones empty; an empty table gives no rows.
+    Rows keep their other columns, but for one named found_col; repeated rows stay repeated and get the
+    same replacements, as does every mention of an entity. Null texts stay null, empty ones empty; an empty
+    table gives no rows. Very long texts are searched whole: every repeated part of the patterns is bounded
+    or a single character class, so neither stack nor time grows faster than the text. Columns may have any
+    names; those of temporary columns are chosen anew. Ties between entities in conflict go to the smaller one.
     """
     prepare(df.sparkSession)
     df = df.drop(found_col)
