@@ -109,9 +109,7 @@ def local_components(n: int, i, j):
     while len(i):
         low = np.minimum(lab[i], lab[j])
         new = lab.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        np.minimum.at(new, lab[i], low)
+        np.minimum.at(new, lab[i], low)  # only roots move: a node that left its root would lose the others
         np.minimum.at(new, lab[j], low)
         while True:
             jump = new[new]

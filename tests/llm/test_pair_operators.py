@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
 from millrace.llm import lattice, queries, simhash
@@ -32,6 +32,8 @@ def groups(n, links):
 
 
 @given(st.integers(1, 30).flatmap(lambda n: st.tuples(st.just(n), st.lists(st.tuples(st.integers(0, n - 1), st.integers(0, n - 1)), max_size=40))))
+@example((6, [(0, 5), (1, 3), (2, 4), (2, 5), (3, 4)]))
+@settings(max_examples=1000, deadline=None)
 def test_local_components(x):
     n, links = x
     i, j = (np.array([p[k] for p in links], np.int64) for k in (0, 1))
