@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -46,6 +46,14 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(total * 2 > n).tobytes(), "big")
 
 
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The fingerprint of given 64-bit hashes of shingles; 0 for none."""
+    total, size = np.zeros(64, np.int64), 1 << 16
+    for at in range(0, len(hashes), size):
+        total += np.unpackbits(hashes[at : at + size].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(total * 2 > len(hashes)).tobytes(), "big")
+
+
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """(id, fp long) for every row; a null or empty text has fingerprint 0."""
 
@@ -196,24 +204,31 @@ def grouped(fps: DataFrame, joined: DataFrame, reps: DataFrame | None = None) ->
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", near=near_duplicates, mark=fingerprint) -> DataFrame:
     """df's rows, as they are, of one document of each group of near duplicates: the one with the smallest id.
 
-    An id stands for one document: of rows that share an id, one stays. Rows without an id stay if no row
-    with an id is in their group. near gives the groups, mark the fingerprint of a text in them.
+    An id stands for one document: of rows that share an id, one stays, that with the smallest hash of its
+    text. Rows without an id stay if no row with an id is in their group. near gives the groups, mark the
+    fingerprint of a text in them. Null and empty texts are a group like any other; an empty table gives no
+    rows; further columns stay as they are, whatever their names.
     """
     found = near(df, id_col, text_col)
-    name, row, fp_col = spare(df, "kept"), spare(df, "row"), spare(df, "fp")
+    name, fp_col = spare(df, "kept"), spare(df, "fp")
     columns = [F.col(f"`{c}`") for c in df.columns]
-    kept = found.where("id = component_id").select(F.col("id").alias(name)).distinct()
-    first = Window.partitionBy(name).orderBy(F.xxhash64(F.col(f"`{text_col}`")))
-    one = df.withColumn(name, F.col(f"`{id_col}`")).join(kept, name, "left_semi").withColumn(row, F.row_number().over(first)).where(F.col(row) == 1).select(*columns)
+    kept = found.where("id = component_id").groupBy(F.col("id").alias(name)).agg(F.count("*").alias("rows"))
+    kept = stored(kept, "kept-ids")
+    named = df.withColumn(name, F.col(f"`{id_col}`"))
+    one = named.join(kept.where("rows = 1").select(name), name, "left_semi").select(*columns)
+    if not (again := kept.where("rows > 1").select(name)).isEmpty():
+        least = F.min_by(F.struct(*columns), F.xxhash64(F.col(f"`{text_col}`")))  # partial sums: a frequent id is no hot key
+        some = named.join(again, name, "left_semi").groupBy(name).agg(least.alias(fp_col))
+        one = one.unionByName(some.select(*[F.col(f"`{fp_col}`")[c].alias(c) for c in df.columns]))
     if found.where("id is null").isEmpty():
         return one
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        text = b.column(b.schema.get_field_index(text_col)).to_pylist()
-        fp = np.array([mark((t or "").encode()) for t in text], np.uint64)
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp.view(np.int64))], names=[*b.schema.names, fp_col])
+        text = b.column(b.num_columns - 1)
+        fp = np.array([mark(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in text], np.uint64)
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp.view(np.int64))], names=[*b.schema.names[:-1], fp_col])
 
-    unnamed = df.where(F.col(f"`{id_col}`").isNull())
-    named = found.where("id is null and component_id is not null").select(F.col("fp").alias(fp_col)).distinct()
-    alone = in_arrow(unnamed, run, StructType([*df.schema.fields, StructField(fp_col, LongType())])).join(named, fp_col, "left_anti")
+    unnamed = df.where(F.col(f"`{id_col}`").isNull()).withColumn(fp_col, F.col(f"`{text_col}`").cast("binary"))
+    grouped_ = found.where("id is null and component_id is not null").select(F.col("fp").alias(fp_col)).distinct()
+    alone = in_arrow(unnamed, run, StructType([*df.schema.fields, StructField(fp_col, LongType())])).join(grouped_, fp_col, "left_anti")
     return one.unionByName(alone.select(*columns))
