@@ -2,7 +2,8 @@
 
 Encoding picks for each frame a constant, verbatim, fixed (order 0-4) or, if asked for, LPC subframe
 with Rice-coded residuals. Every stream has a seek table with one point per frame, so that a frame is
-found by its sample offset and frames decode independently. Decoding reads the streams' bytes alone:
+found by its sample offset and frames decode independently; however long a stream is, `GROUP` frames are
+encoded or decoded at once. Decoding reads the streams' bytes alone:
 it parses frame headers, checks their CRC-8 and the frames' CRC-16, decodes the Rice residuals of all
 frames in step, one sample of every frame at a time, undoes the predictors, and checks the MD5 of the
 samples. A stream without a seek table is walked frame by frame. Any mismatch raises ValueError.
@@ -13,7 +14,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -27,6 +28,10 @@ FRAME = 1024
 RATE = 8000
 #: Payload bytes that a worker encodes or decodes at once (or one longer stream).
 CHUNK = 2 << 20
+#: Frames that are encoded or decoded at once, and bytes in which the next frame of a stream without a seek table must end.
+GROUP, REACH = 2048, 1 << 18
+#: Order of the linear predictors that the media column's encoder tries beside the fixed ones.
+ORDER = 4
 #: Coefficient precision of LPC subframes, in bits.
 PRECISION = 12
 
@@ -87,22 +92,23 @@ def _lpc(s: np.ndarray, n: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarr
 
 def encode(payloads: list[bytes], lpc_order: int = 0) -> list[bytes]:
     """FLAC streams of byte strings; a byte b is the sample b - 128. lpc_order > 0 also tries LPC of that order."""
-    frames = [(k, at // FRAME, p[at : at + FRAME]) for k, p in enumerate(payloads) for at in range(0, len(p), FRAME)]
-    bodies = _subframes([f for _, _, f in frames], lpc_order) if frames else []
-    heads = [_header(number, len(f)) for _, number, f in frames]
-    raw = [h + b for h, b in zip(heads, bodies, strict=True)]
-    ends = np.cumsum([0, *map(len, raw)])
-    crc = _crc(np.frombuffer(b"".join(raw), np.uint8), ends[:-1], ends[1:], 16) if raw else []
+    places = [(k, at) for k, p in enumerate(payloads) for at in range(0, len(p), FRAME)]
     out: list[list[bytes]] = [[] for _ in payloads]
-    for (k, _, _), r, c in zip(frames, raw, crc, strict=True):
-        out[k].append(r + struct.pack(">H", int(c)))
+    for first in range(0, len(places), GROUP):
+        some = places[first : first + GROUP]
+        frames = [payloads[k][at : at + FRAME] for k, at in some]
+        raw = [_header(at // FRAME, len(f)) + b for (_, at), f, b in zip(some, frames, _subframes(frames, lpc_order), strict=True)]
+        ends = np.cumsum([0, *map(len, raw)])
+        crc = _crc(np.frombuffer(b"".join(raw), np.uint8), ends[:-1], ends[1:], 16)
+        for (k, _), r, c in zip(some, raw, crc, strict=True):
+            out[k].append(r + struct.pack(">H", int(c)))
     return [_stream(p, f) for p, f in zip(payloads, out, strict=True)]
 
 
 def _stream(payload: bytes, frames: list[bytes]) -> bytes:
     sizes = [len(f) for f in frames] or [0]
     info = struct.pack(">HH", FRAME, FRAME) + min(sizes).to_bytes(3, "big") + max(sizes).to_bytes(3, "big")
-    info += (RATE << 44 | 0 << 41 | 7 << 36 | len(payload)).to_bytes(8, "big") + hashlib.md5(_signed(payload)).digest()
+    info += (RATE << 44 | 0 << 41 | 7 << 36 | len(payload)).to_bytes(8, "big") + _md5(payload[k : k + CHUNK] for k in range(0, len(payload), CHUNK))
     seek, at = [], 0
     for k, f in enumerate(frames):
         seek.append(struct.pack(">QQH", k * FRAME, at, min(FRAME, len(payload) - k * FRAME)))
@@ -111,8 +117,15 @@ def _stream(payload: bytes, frames: list[bytes]) -> bytes:
     return b"fLaC" + b"\x00" + len(info).to_bytes(3, "big") + info + b"\x83" + len(table).to_bytes(3, "big") + table + b"".join(frames)
 
 
-def _signed(payload: bytes) -> bytes:
-    return (np.frombuffer(payload, np.uint8) ^ 128).tobytes()
+_FLIP = bytes(b ^ 128 for b in range(256))
+
+
+def _md5(parts: Iterable[bytes]) -> bytes:
+    """The MD5 of the signed samples."""
+    out = hashlib.md5()
+    for p in parts:
+        out.update(p.translate(_FLIP))
+    return out.digest()
 
 
 def _subframes(frames: list[bytes], lpc_order: int) -> list[bytes]:
@@ -364,15 +377,24 @@ def decode(streams: list[bytes]) -> list[list[tuple[int, bytes]]]:
     got: list[dict[int, tuple[int, bytes]]] = [{} for _ in streams]  # by where a frame begins: its end and samples
     start, own = np.array(starts, np.int64), np.array(own, np.int64)
     while len(start):
-        s, n, number, end = _frames(buf, start)
-        pcm = (s + 128).astype(np.uint8)
-        more = []
-        for i, k in enumerate(own.tolist()):
-            head, _, b, size = info[k]
-            a = int(start[i])
-            got[k][a] = (int(number[i]) * head[0], int(end[i]), pcm[i, : n[i]].tobytes())
-            if end[i] < b + size:
-                more.append((int(end[i]), k))
+        more, by = [], np.argsort(start, kind="stable")
+        start, own = start[by], own[by]
+        if start[-1] >= len(buf):
+            raise ValueError("a seek point lies behind the stream")
+        for first in range(0, len(start), GROUP):  # a group lies in one slice of the bytes
+            part, of = start[first : first + GROUP], own[first : first + GROUP]
+            lo = int(part[0])
+            hi = int(part[-1]) + REACH  # no frame is longer: it has 65535 samples of 8 bits at most
+            s, n, number, end = _frames(buf[lo:hi], part - lo)
+            end = end + lo
+            pcm = (s + 128).astype(np.uint8)
+            for i, k in enumerate(of.tolist()):
+                head, _, b, size = info[k]
+                a = int(part[i])
+                got[k][a] = (int(number[i]) * head[0], int(end[i]), pcm[i, : n[i]].tobytes())
+                if end[i] < b + size:
+                    more.append((int(end[i]), k))
+            del s, pcm
         more = [x for x in dict.fromkeys(more) if x[0] not in got[x[1]]]
         start, own = np.array([x[0] for x in more], np.int64), np.array([x[1] for x in more], np.int64)
     out = []
@@ -384,8 +406,7 @@ def decode(streams: list[bytes]) -> list[list[tuple[int, bytes]]]:
                 raise ValueError("frames don't follow each other")
             blocks.append((offset, pcm))
             want, where = want + len(pcm), end
-        whole = b"".join(x for _, x in blocks)
-        if where != b + size or want != head[1] or hashlib.md5(_signed(whole)).digest() != head[2]:
+        if where != b + size or want != head[1] or _md5(x for _, x in blocks) != head[2]:
             raise ValueError("the samples differ from the stream's MD5 or count")
         out.append(blocks)
     return out
@@ -396,11 +417,12 @@ def padded(text: bytes, unit: int = 64) -> bytes:
     return text + bytes(-len(text) % unit or (0 if text else unit))
 
 
-def _chunks(items: list[bytes]) -> Iterator[tuple[int, int]]:
+def _chunks(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Ranges of items of `CHUNK` bytes, or of one larger item at the end."""
     at, size = 0, 0
-    for k, x in enumerate(items):
-        size += len(x)
-        if size >= CHUNK or k == len(items) - 1:
+    for k, x in enumerate(sizes):
+        size += x
+        if size >= CHUNK or k == len(sizes) - 1:
             yield at, k + 1
             at, size = k + 1, 0
 
@@ -408,26 +430,30 @@ def _chunks(items: list[bytes]) -> Iterator[tuple[int, int]]:
 def encode_column(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, media): each text's UTF-8 bytes, padded, as a FLAC stream. A null text counts as empty.
 
-    Rows with null or repeated ids come back as they are; an empty table gives no rows; other columns are ignored.
+    Rows with null or repeated ids come back as they are; an empty table gives no rows; other columns are
+    ignored, so their names don't matter. Very long texts are one stream, encoded a group of frames at a time.
+    Equal texts give equal streams: of predictors that do equally well the simplest is taken.
     """
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        raw = [t or b"" for t in b.column(1).to_pylist()]
-        for a, z in _chunks(raw):
-            media = encode([padded(t) for t in raw[a:z]])
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), pa.array([len(t) for t in raw[a:z]], pa.int64()), pa.array(media, pa.binary())], names=["id", "n_bytes", "media"])
+        text = b.column(1)
+        size = [len(t.as_buffer()) if t.is_valid else 0 for t in text]
+        for a, z in _chunks(size):
+            raw = [padded(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in text.slice(a, z - a)]
+            media = encode(raw, ORDER)
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), pa.array(size[a:z], pa.int64()), pa.array(media, pa.binary())], names=["id", "n_bytes", "media"])
 
     docs = texts(df, id_col, text_col).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("t"))
     return in_arrow(docs, run, f"id {docs.schema[0].dataType.simpleString()}, n_bytes long, media binary")
 
 
 def pcm_blocks(media: DataFrame) -> DataFrame:
-    """(id, sample_offset, n_samples, pcm binary): the decoded blocks of each stream; a null stream has none."""
+    """(id, sample_offset, n_samples, pcm binary): the decoded blocks of each stream, to be written and sought by offset; a null stream has none."""
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ids, raw = b.column(0).to_pylist(), b.column(1).to_pylist()
         ids, raw = zip(*[(i, m) for i, m in zip(ids, raw, strict=True) if m is not None], strict=True) if any(m is not None for m in raw) else ((), ())
-        for a, z in _chunks(list(raw)):
+        for a, z in _chunks([len(m) for m in raw]):
             rows = [(i, o, len(p), p) for i, blocks in zip(ids[a:z], decode(list(raw[a:z])), strict=True) for o, p in blocks]
             cols = list(zip(*rows, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema[0].type), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary())], names=["id", "sample_offset", "n_samples", "pcm"])
@@ -444,15 +470,21 @@ def read_back(media: DataFrame) -> DataFrame:
     names = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        raw = b.column(2).to_pylist()
-        for a, z in _chunks(raw):
-            rows = []
-            for m, blocks in zip(raw[a:z], decode(raw[a:z]), strict=True):
-                pcm = b"".join(p for _, p in blocks)
-                x = np.frombuffer(pcm, np.uint8).astype(np.int16) - 128
-                step = np.abs(np.diff(x))
-                feature = f"{len(x)}:{len(blocks)}:{int(((x[1:] < 0) != (x[:-1] < 0)).sum())}:{int(np.abs(x).sum(dtype=np.int64))}:{int(step.max(initial=0))}"
-                rows.append((len(pcm), hashlib.sha256(pcm).hexdigest(), zlib.crc32(pcm[-64:]), len(m), hashlib.sha256(m).hexdigest(), feature))
+        streams = b.column(2)
+        for a, z in _chunks([len(m.as_buffer()) for m in streams]):
+            raw, rows = [m.as_buffer().to_pybytes() for m in streams.slice(a, z - a)], []
+            for m, blocks in zip(raw, decode(raw), strict=True):
+                sha, n, crossings, level, largest, last = hashlib.sha256(), 0, 0, 0, 0, None
+                for _, p in blocks:
+                    sha.update(p)
+                    x = np.frombuffer(p, np.uint8).astype(np.int16) - 128
+                    level += int(np.abs(x).sum(dtype=np.int64))
+                    x = x if last is None else np.concatenate([[last], x])
+                    crossings += int(((x[1:] < 0) != (x[:-1] < 0)).sum())
+                    largest = max(largest, int(np.abs(np.diff(x)).max(initial=0)))
+                    n, last = n + len(p), x[-1]
+                tail = b"".join(p for _, p in blocks[-2:])[-64:]
+                rows.append((n, sha.hexdigest(), zlib.crc32(tail), len(m), hashlib.sha256(m).hexdigest(), f"{n}:{len(blocks)}:{crossings}:{level}:{largest}"))
             cols = [pa.array(c) for c in zip(*rows, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), b.column(1).slice(a, z - a), *cols], names=names)
 

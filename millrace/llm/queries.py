@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, flac, langid, lattice, mixing, prefix_tokens, quality, simhash, sitetree, surrogates
+from .common import stored
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,7 +32,8 @@ def op3_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flac.read_back(flac.encode_column(_table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+    media = stored(flac.encode_column(_table(spark, sf_dir, "documents")), "flac-media")  # what is read back has been written
+    return flac.read_back(media).withColumnRenamed("id", "doc_id")
 
 
 def op5_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
