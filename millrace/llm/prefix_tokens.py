@@ -6,14 +6,15 @@ adds to the previous entry the tokens of one more unit. Inside a unit the prefix
 unit's own table: n[j] is the count of its first j symbols when more symbols follow, and the last token
 of those is the only one that (a) ends at j and (b) stays apart from the last token before it when the
 two are merged by rank; the count of a prefix that ends there adds one closing token, found alike.
-So a budget or a truncation needs a binary search and at most one unit's table, and no text is encoded
-again. Positions are code points of the normalised text (NFC and lower case, white space kept as is;
+So a budget or a truncation needs a search in the table and at most one unit's table, and no text is
+encoded again: prefix_tables() gives the tables as columns, and budgets are answered from these alone. Positions are code points of the normalised text (NFC and lower case, white space kept as is;
 special strings as they are), and the count of a prefix is what the library gives for that prefix.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -21,7 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Splitter, in_arrow, texts
@@ -75,8 +76,10 @@ class Counter:
         self.library = Tokenizer.from_file(path)
         self.split = Splitter(steps[0]["pattern"]["Regex"])
         special = sorted((x["content"] for x in spec["added_tokens"]), key=len, reverse=True)
+        self.mark = os.path.commonprefix(special)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.end = spec["model"]["end_of_word_suffix"] or ""
+        self.longest = max(map(len, spec["model"]["vocab"]))  # of a token, in symbols
         self.vocab, self.known = spec["model"]["vocab"], _Counts(self.unit_count)
         self.rank = {tuple(m) if isinstance(m, list) else tuple(m.split(" ")): k for k, m in enumerate(spec["model"]["merges"])}
         self.symbol = _symbols()
@@ -97,7 +100,7 @@ class Counter:
     def segments(self, text: str) -> Iterator[tuple[bool, str]]:
         """(is a special token, text): special strings are found in the raw text, the rest is normalised."""
         at = 0
-        for m in self.special.finditer(text) if self.special and "<|" in text else ():
+        for m in self.special.finditer(text) if self.special and self.mark in text else ():
             if m.start() > at:
                 yield False, self.normalise(text[at : m.start()])
             yield True, m[0]
@@ -115,16 +118,24 @@ class Counter:
         """The recurrence over units: each entry is the one before and the tokens of one more unit."""
         return np.cumsum(np.fromiter(map(self.known.__getitem__, units), np.int64, len(units)))
 
+    def entries(self, text: str) -> tuple[int, list[int], np.ndarray]:
+        """(code points of the normalised text, where each unit starts, the table: tokens up to the end of each unit)."""
+        at, starts, tables, so_far = 0, [], [], 0
+        for special, s in self.segments(text):
+            if special:
+                starts.append(at)
+                tables.append(np.array([so_far + 1]))
+            else:
+                found = [(m.start(), m[0]) for m in self.split.finditer(s)]
+                starts += [at + x for x, _ in found]
+                tables.append(so_far + self.table([u for _, u in found]))
+            so_far = int(tables[-1][-1]) if len(tables[-1]) else so_far
+            at += len(s)
+        return at, starts, np.concatenate(tables) if tables else np.zeros(0, np.int64)
+
     def totals(self, batch: list[str]) -> list[int]:
-        """The last table entry of each text; the tables with their positions are prefixes()."""
-        out = []
-        for text in batch:
-            n = 0
-            for special, s in self.segments(text):
-                sums = [1] if special else self.table(self.split.findall(s))
-                n += int(sums[-1]) if len(sums) else 0
-            out.append(n)
-        return out
+        """The last table entry of each text."""
+        return [int(t[-1]) if len(t) else 0 for _, _, t in map(self.entries, batch)]
 
     def prefixes(self, text: str) -> Prefixes:
         text, parts, units, at = text or "", [], [], 0
@@ -133,9 +144,7 @@ class Counter:
             units += [(at + a, at + b, special) for a, b in found]
             parts.append(s)
             at += len(s)
-        whole = "".join(parts)
-        counts = np.cumsum([1 if special else self.known[whole[a:b]] for a, b, special in units]) if units else np.zeros(0, np.int64)
-        return Prefixes(self, whole, units, counts)
+        return Prefixes(self, "".join(parts), units, self.entries(text)[2])
 
     # inside a unit
 
@@ -162,7 +171,7 @@ class Counter:
         return self.merged(left + right) == ("".join(left), "".join(right))
 
     def unit_table(self, unit: str) -> list[int]:
-        """The counts of unit[:0], unit[:1], ... as units of their own, by the recurrence of the module's text."""
+        """The counts of unit[:0], unit[:1], ... as units of their own, by the recurrence of the module's text; in time in proportion to the unit, as no token is longer than the vocabulary's longest."""
         sym = [self.symbol[b] for b in unit.encode()]
         m = len(sym)
         n, last = [0] * (m + 1), [()] * (m + 1)
@@ -175,14 +184,14 @@ class Counter:
             return t if not a or self._apart(last[a], t) else None
 
         for j in range(1, m):
-            for a in range(j):
+            for a in range(max(0, j - self.longest), j):
                 if t := token(a, j, False):
                     n[j], last[j] = n[a] + 1, t
                     break
         out, size = [0], 0
         for c in unit:
             size += len(c.encode())
-            out.append(next(n[a] + 1 for a in range(size) if token(a, size, True)))
+            out.append(next(n[a] + 1 for a in range(max(0, size - self.longest), size) if token(a, size, True)))
         return out
 
 
@@ -222,7 +231,11 @@ class Prefixes:
         done = int(self.counts[k - 1]) if k else 0
         if special:
             return a
-        return max((x for x in range(a, b) if done + (self._inside(a, x) if x > a else 0) <= budget), default=a)
+        if b - a > 4:  # a run of letters or of signs, whose prefixes are units too
+            inside = self.counter.unit_table(self.text[a : b - 1])
+        else:
+            inside = [0, *(self._inside(a, x) for x in range(a + 1, b))]
+        return a + max(k for k, n in enumerate(inside) if not k or done + n <= budget)
 
 
 def counter(path: str) -> Counter:
@@ -231,25 +244,51 @@ def counter(path: str) -> Counter:
     return _counters[path]
 
 
-def token_counts(df: DataFrame, path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, n_tokens, over_limit, fits_chars): one row for every row of df.
+def prefix_tables(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_bytes, n_chars, starts array<int>, counts array<int>): every row's prefix table.
 
-    over_limit: n_tokens > limit; fits_chars: code points of the normalised text's longest prefix of whole
-    units within the limit. A null text counts as empty: 0 tokens, 0 code points. Rows with null or
-    repeated ids come back as they are; an empty table gives no rows; other columns are ignored.
+    counts[k] is the exact number of tokens up to the end of unit k, starts[k] where that unit begins, in code
+    points of the normalised text, which has n_chars. A null text counts as empty, without units. Rows with null
+    or repeated ids come back as they are; an empty table gives no rows; other columns are ignored, so their
+    names don't matter. Very long texts and words are counted whole; of pairs with equal rank the first merges.
     """
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         c = counter(path)
-        raw = [t or b"" for t in b.column(1).to_pylist()]
-        text = [t.decode("utf-8", "replace") for t in raw]
-        n = c.totals(text)
-        fits = [len("".join(s for _, s in c.segments(t))) if k <= limit else c.prefixes(t).fits(limit) for t, k in zip(text, n, strict=True)]
-        cols = [pa.array(x, pa.int64()) for x in ([len(t) for t in raw], n)]
-        yield pa.RecordBatch.from_arrays([b.column(0), *cols, pa.array([k > limit for k in n]), pa.array(fits, pa.int64())], names=["id", "n_bytes", "n_tokens", "over_limit", "fits_chars"])
+        n_bytes, n_chars, ends = [], [], [0]
+        starts, counts = [], []
+        for t in b.column(1):
+            raw = t.as_buffer().to_pybytes() if t.is_valid else b""
+            size, s, k = c.entries(raw.decode("utf-8", "replace"))
+            n_bytes.append(len(raw))
+            n_chars.append(size)
+            starts.append(np.array(s, np.int32))
+            counts.append(k.astype(np.int32))
+            ends.append(ends[-1] + len(s))
+        lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(x))) for x in (starts, counts)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_chars, pa.int64()), *lists], names=["id", "n_bytes", "n_chars", "starts", "counts"])
 
     docs = texts(df, id_col, text_col).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("t"))
-    return in_arrow(docs, run, f"id {docs.schema[0].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean, fits_chars long")
+    return in_arrow(docs, run, f"id {docs.schema[0].dataType.simpleString()}, n_bytes long, n_chars long, starts array<int>, counts array<int>")
+
+
+def tokens_of() -> Column:
+    """The number of tokens of a whole text, from its prefix table."""
+    return F.when(F.size("counts") > 0, F.element_at("counts", -1)).otherwise(0).cast("long")
+
+
+def fits(budget: int | Column) -> Column:
+    """Code points of the longest prefix, ended by a unit or by what stands between units, of at most budget tokens, from a prefix table."""
+    budget = F.lit(budget) if isinstance(budget, int) else budget
+    units = F.size(F.filter("counts", lambda n: n <= budget))
+    return F.when(units >= F.size("counts"), F.col("n_chars")).otherwise(F.element_at("starts", units + 1)).cast("long")
+
+
+def token_counts(df: DataFrame, path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_bytes, n_tokens, over_limit, fits_chars): one row for every row of df, all from its prefix table.
+
+    over_limit: n_tokens > limit; fits_chars: code points of the normalised text's longest prefix of whole
+    units within the limit. Nulls, empty and long texts, repeated rows and empty tables: as prefix_tables().
+    """
+    return prefix_tables(df, path, id_col, text_col).select("id", "n_bytes", tokens_of().alias("n_tokens"), (tokens_of() > limit).alias("over_limit"), fits(limit).alias("fits_chars"))
