@@ -9,7 +9,8 @@
 
 Only words and numbers are shuffled: a word as often as there are blocks that hold it, however often
 it occurs, so neither a frequent word nor a large source makes a hot key. A block holds `BLOCK_BYTES`
-of text or one longer text. Decoding looks ids up in the token-byte table, which the vocabulary bounds.
+of text or one longer text. Decoding joins each position's id to the token-byte table, which the vocabulary
+bounds: ids are places in it, so the join is a positional one in every task, without a shuffle.
 """
 
 from __future__ import annotations
@@ -24,10 +25,14 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import Splitter, in_arrow, prepare, release, stored, texts
+from .common import Splitter, in_arrow, prepare, release, spare, stored, texts
 
 BLOCK_BYTES = 32 << 20
+#: Ways to deal the distinct words at most: a block makes a pack for each, so more partitions must not make ever smaller packs.
+MOST_BUCKETS = 4096
 #: A block's packed positions travel in slices of this many bytes, as rows with buckets -1, -2, ...
 SLICE = 128 << 10
 _loaded: dict = {}
@@ -154,20 +159,25 @@ class _Block:
             if edges[k] < edges[k + 1]:
                 shared[edges[k]] = 0
                 packs[k] = pack_words(words[edges[k] : edges[k + 1]], shared[edges[k] : edges[k + 1]])
-        return int(np.uint64(xxhash.xxh64_intdigest(blob + repr(self.rows).encode())).view(np.int64)), self.rows, blob, packs
+        own = xxhash.xxh64(blob + repr(self.rows).encode())
+        for k, pack_ in packs.items():  # equal ids and structure with other words are another block
+            own.update(k.to_bytes(4, "little") + pack_)
+        return int(np.uint64(own.intdigest()).view(np.int64)), self.rows, blob, packs
 
 
 def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
     """(id, ids array<int>) for every row: each match of pattern is encoded separately, without special tokens.
 
-    A null or empty text has no ids; rows with a null or repeated id come back as they are; an empty
-    table gives no rows; other columns are ignored. buckets: how many ways the distinct words are dealt.
+    A null or empty text has no ids; rows with a null or repeated id, of any type that Arrow holds, come back
+    as they are; an empty table gives no rows; other columns are ignored, so their names don't matter. A very
+    long text is a block of its own and is encoded whole. Of pairs with equal rank the first is merged.
+    buckets: how many ways the distinct words are dealt, `MOST_BUCKETS` at most.
     """
     spark = prepare(df.sparkSession)
-    buckets = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or min(MOST_BUCKETS, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     docs = texts(df, id_col, text_col).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("t"))
     kind = docs.schema[0].dataType.simpleString()
-    arrow_id = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    arrow_id = to_arrow_type(docs.schema[0].dataType)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = Splitter(pattern)
@@ -283,8 +293,11 @@ def _bytes_of(path: str) -> list[bytes]:
     return _loaded["bytes", path]
 
 
-def digests(coded: DataFrame, path: str) -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256) of the rows of encode(): the ids are decoded by the token-byte table."""
+def digests(coded: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256) of the rows of encode(), with `ids` too if keep_ids: the ids are decoded by the token-byte table.
+
+    No ids, or null: the digests of no bytes. Repeated rows come back as often."""
+    names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"] + (["ids"] if keep_ids else [])
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         table = _bytes_of(path)
@@ -296,7 +309,35 @@ def digests(coded: DataFrame, path: str) -> DataFrame:
             n.append(len(ids))
             ids_sha.append(hashlib.sha256(b" ".join(map(decimal.__getitem__, ids))).hexdigest())
             text_sha.append(hashlib.sha256(b"".join(map(table.__getitem__, ids))).hexdigest())
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        columns = [b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+        yield pa.RecordBatch.from_arrays(columns + ([b.column(1)] if keep_ids else []), names=names)
 
     it = coded.select("id", "ids")
-    return in_arrow(it, run, f"id {it.schema[0].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    kinds = f"id {it.schema[0].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if keep_ids else "")
+    return in_arrow(it, run, kinds)
+
+
+def with_counts(df: DataFrame, path: str, pattern: str, count_col: str, text_col: str = "text") -> DataFrame:
+    """df with count_col, the number of each whole text's tokens (0 for a null text): pre-tokens are encoded once a worker."""
+    bytes_col = spare(df, "text_bytes")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, split, known = _coder(path, pattern), Splitter(pattern), {}
+        for b in batches:
+            n = []
+            for t in b.column(b.num_columns - 1):
+                total = 0
+                for w in split.findall(t.as_buffer().to_pybytes().decode("utf-8", "replace")) if t.is_valid else ():
+                    if (k := known.get(w)) is None:
+                        if len(known) >= 500_000:  # bounds memory only
+                            known.clear()
+                        known[w] = k = len(coder._encode_single_piece(w.encode()))
+                    total += k
+                n.append(total)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n, pa.int64())], names=[*b.schema.names[:-1], count_col])
+        known.clear()
+        release()
+
+    prepare(df.sparkSession)
+    kinds = StructType([*df.schema.fields, StructField(count_col, LongType())])
+    return df.withColumn(bytes_col, F.col(f"`{text_col}`").cast("binary")).mapInArrow(run, kinds)
