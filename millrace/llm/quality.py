@@ -174,14 +174,14 @@ def feature_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def train(df: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_ROWS) -> Model:
-    """Learns from rows of labels for which usable is true: at most max_rows ids, by the smallest hashes. Null ids and labels are left out."""
+    """Learns from rows of labels for which usable is true: at most max_rows ids, by the smallest hashes. Null ids and labels are left out; of rows that share an id the one with the smallest features counts."""
     named = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("double").alias("y"), usable.alias("u")).where("u and id is not null and y in (0, 1)").groupBy("id").agg(F.min("y").alias("y"))
     n = named.count()
     h = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(17)), F.lit(1 << 30))
     few = named.where(h < int((1 << 30) * min(1.0, 1.1 * max_rows / max(1, n)))).orderBy(h, "id").limit(max_rows)
     docs = texts(df, id_col, text_col).join(F.broadcast(few.select(F.col("id").alias(id_col), "y")), id_col)  # at most max_rows rows
     rows = feature_rows(docs, id_col, text_col).toPandas()
-    rows = rows.merge(few.toPandas(), on="id").drop_duplicates("id").sort_values("id")
+    rows = rows.merge(few.toPandas(), on="id").assign(k=lambda r: r["x"].map(tuple)).sort_values(["id", "k"]).drop_duplicates("id")
     x = np.array(rows["x"].tolist(), float).reshape(-1, len(NAMES))
     return fit(x, rows["y"].to_numpy(float))
 
@@ -189,7 +189,8 @@ def train(df: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """(id, score, predicted) for every row of df, from its whole text alone; a null text counts as empty.
 
-    Rows with null or repeated ids come back as they are; an empty table gives no rows; other columns are ignored.
+    Very long texts are read whole; equal texts have equal scores. Rows with null or repeated ids come back as
+    they are; an empty table gives no rows; other columns are ignored, so their names don't matter.
     """
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
