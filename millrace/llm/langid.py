@@ -19,32 +19,50 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow, texts
+from .common import in_arrow, spare, texts
 
 #: Hash buckets of n-grams of 1 to 3 characters.
 BUCKETS = 4096
 #: Training rows at most, over all languages; an equal share for each language.
 MAX_ROWS = 2400
-#: A text is ambiguous if the best language's probability is below this.
-AMBIGUOUS = 0.55
+#: Languages at most: those with the most training rows.
+MAX_LANGUAGES = 200
+#: A text is ambiguous if the best language's probability is below this, and clear from CLEAR on.
+AMBIGUOUS, CLEAR = 0.55, 0.9
 UNKNOWN = "und"
 _other = re.compile(r"[\W\d_]+")
 _CHUNK = 1 << 20
 
 
 def features(text: str) -> np.ndarray:
-    """Square roots of the frequencies of hashed n-grams of the whole lower-cased text; runs of other characters than letters count as one blank."""
+    """Square roots of the frequencies of hashed n-grams of the whole lower-cased text; runs of other characters than letters count as one blank.
+
+    Long texts are read in pieces, in bounded memory; a piece goes on where the last one ended, so their size makes no difference."""
     total = np.zeros(BUCKETS, np.int64)
-    for at in range(0, len(text), _CHUNK):  # in pieces, for very long texts: bounded memory, pieces overlap by two
-        piece = " " + _other.sub(" ", text[max(0, at - 2) : at + _CHUNK].lower()).strip() + " "
-        c = np.frombuffer(piece.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+    tail = " "  # the last two characters so far
+    for at in range(0, len(text), _CHUNK):
+        piece = _other.sub(" ", text[at : at + _CHUNK].replace("Σ", "σ").lower())  # a sigma's form would depend on the letters around it
+        if tail[-1] == " " and piece[:1] == " ":
+            piece = piece[1:]
+        tail = _add(total, tail, piece)
+    _add(total, tail, "" if tail[-1] == " " else " ")
+    if len(text):
+        _add(total, "", " ")  # the blank before the text
+    out = np.sqrt(total.astype(np.float32))
+    return out / max(1e-9, float(np.linalg.norm(out)))
+
+
+def _add(total: np.ndarray, tail: str, piece: str) -> str:
+    """Counts the n-grams that end in piece; returns the last two characters."""
+    if piece:
+        c = np.frombuffer((tail + piece).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
         h = c * np.uint64(0x9E3779B97F4A7C15)
         for k in range(3):
             if k:
                 h = (h[:-1] ^ (h[:-1] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + c[k:] * np.uint64(0x9E3779B97F4A7C15)
-            total += np.bincount(((h * np.uint64(0x94D049BB133111EB)) >> np.uint64(52)).astype(np.int64), minlength=BUCKETS)
-    out = np.sqrt(total.astype(np.float32))
-    return out / max(1e-9, float(np.linalg.norm(out)))
+            new = h[max(0, len(tail) - k) :]
+            total += np.bincount(((new * np.uint64(0x94D049BB133111EB)) >> np.uint64(52)).astype(np.int64), minlength=BUCKETS)
+    return (tail + piece)[-2:]
 
 
 def codewords(k: int) -> np.ndarray:
@@ -105,9 +123,10 @@ def fit(x: np.ndarray, y: list[str], steps: int = 400) -> Model:
 
 def train(df: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = MAX_ROWS) -> Model:
     """Learns from rows of df for which usable is true and text and lang aren't null: at most max_rows rows,
-    for each language those with the smallest hashes of their ids. No rows: a model without languages."""
+    for each of the MAX_LANGUAGES most frequent languages those with the smallest hashes of their ids (ties:
+    by id, then text). No rows: a model without languages. Very long texts count whole."""
     docs = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("t"), F.col(f"`{lang_col}`").alias("y"), usable.alias("u")).where("u and t is not null and y is not null and id is not null")
-    counts = {r["y"]: r["n"] for r in docs.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    counts = {r["y"]: r["n"] for r in docs.groupBy("y").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "y").limit(MAX_LANGUAGES).collect()}
     if not counts:
         return fit(np.zeros((0, BUCKETS), np.float32), [])
     share = max(1, max_rows // len(counts))
@@ -140,11 +159,12 @@ def classify(text: list[str | None], model: Model) -> list[tuple[str, float, str
 
 
 def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score, runner_up, ambiguous) for every row, from its whole text alone.
+    """(id, lang_pred, score, runner_up, ambiguous) for every row, from its whole text alone, however long.
 
     A text that is null or has no letter is `und`, with score 0, and not ambiguous; so is any text if the
-    model has no language. Rows with null or repeated ids come back as they are; an empty table gives no
-    rows; other columns are ignored.
+    model has no language. Of languages with equal scores the first by name is taken. Rows with null or
+    repeated ids come back as they are; an empty table gives no rows; other columns are ignored, so their
+    names don't matter.
     """
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -161,11 +181,27 @@ def crc_part(id_col: str, parts: int) -> Column:
     return F.pmod(F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")), F.lit(parts))
 
 
-def keep_known(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of df, as they are, whose language can be told: others than `und`."""
+def identify(df: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of df whose language can be told, with lang_col set by the model where it is clear.
 
-    def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        text = b.column(b.schema.get_field_index(text_col)).to_pylist()
-        yield b.filter(pa.array([x != UNKNOWN for x, *_ in classify(text, model)], pa.bool_()))
+    Rejected: texts that are null or have no letter, and texts without a lang of their own that are ambiguous.
+    lang_col becomes the predicted language where it is null, and where it differs from a prediction with a
+    score of at least CLEAR; an ambiguous or less clear text keeps the lang that it came with. A model without
+    languages rejects only texts that are null or have no letter and changes none. All other columns stay as
+    they are, whatever their names; repeated rows stay repeated; an empty table gives no rows; long texts are
+    read whole; bytes that aren't UTF-8 count as other characters.
+    """
+    spare_col = spare(df, "text_bytes")
 
-    return in_arrow(df, run, df.schema)
+    def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        text = [t.as_buffer().to_pybytes().decode("utf-8", "replace") if t.is_valid else None for t in b.column(b.num_columns - 1)]
+        at = b.schema.get_field_index(lang_col)
+        keep, lang = [], []
+        for t, (best, score, _, ambiguous), own in zip(text, classify(text, model), b.column(at).to_pylist(), strict=True):
+            known = bool(t) and any(map(str.isalpha, t)) and not (ambiguous and own is None)
+            keep.append(known)
+            lang.append(best if best != UNKNOWN and (own is None or score >= CLEAR) else own)
+        columns = [pa.array(lang, b.schema.field(at).type) if k == at else c for k, c in enumerate(b.columns[:-1])]
+        yield pa.RecordBatch.from_arrays(columns, names=b.schema.names[:-1]).filter(pa.array(keep, pa.bool_()))
+
+    return in_arrow(df.withColumn(spare_col, F.col(f"`{text_col}`").cast("binary")), run, df.schema)

@@ -55,12 +55,62 @@ def test_language_odd_rows(odd_docs, docs_of):
     assert len(got) == odd_docs.count() and all(0 <= r.score <= 1 for r in got)
     und = [r for r in got if r.lang_pred == "und"]
     assert len(und) == 5 and all(r.score == 0 for r in und)  # two nulls, empty, white space, a dot
-    assert langid.keep_known(odd_docs, model).count() == len(got) - 5
+    assert langid.identify(odd_docs, model).count() == len(got) - 5 and langid.identify(odd_docs, model).columns == odd_docs.columns
     none = docs_of([])
     assert langid.predict(none, langid.train(none, F.lit(True))).count() == 0
     assert {r.lang_pred for r in langid.predict(odd_docs, langid.train(none, F.lit(True))).collect()} == {"und"}
 
 
+def test_identify_fills_corrects_and_rejects(spark):
+    """The stage's rule against labels: nulls are filled, wrong labels corrected, what can't be told is rejected, all else kept."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.train(docs, langid.crc_part("doc_id", 4) != 2)
+    part = F.pmod("doc_id", F.lit(3))
+    bare = docs.withColumn("lang", F.when(part == 0, None).when(part == 1, F.lit("en")).otherwise(F.col("lang")))
+    out = langid.identify(bare, model)
+    assert out.columns == docs.columns and out.count() == docs.count()
+    r = out.select("doc_id", F.col("lang").alias("now")).join(docs, "doc_id").agg(F.avg((F.col("now") == F.col("lang")).cast("double")).alias("right")).first()
+    assert r["right"] > 0.99
+    odd = spark.createDataFrame([(1, None, "en"), (2, "12 ...", "en"), (3, "Re.", None), (4, "Re.", "en")], "doc_id long, text string, lang string")
+    by = {r.id: r for r in langid.predict(odd, model).collect()}
+    want = {k for k in (3, 4) if k == 4 or not by[k].ambiguous}
+    assert {r.doc_id for r in langid.identify(odd, model).collect()} == want
+    none = langid.train(docs.limit(0), F.lit(True))
+    assert [(r.doc_id, r.lang) for r in langid.identify(odd, none).orderBy("doc_id").collect()] == [(3, None), (4, "en")]
+
+
+def test_predictions_are_those_of_plain_decoding(spark, sf):
+    """Every row of the query against n-grams counted one by one and a plain loop over codewords."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    m = langid.train(docs, langid.crc_part("doc_id", 4) != 2)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in queries.op1_language_id(spark, sf).collect()}
+    for r in docs.collect():
+        s, total = " " + " ".join("".join(c if c.isalpha() else " " for c in r.text.lower()).split()) + " ", {}
+        for k in (1, 2, 3):
+            for at in range(len(s) - k + 1):
+                h = 0
+                for j, c in enumerate(s[at : at + k]):
+                    h = ((h ^ h >> 29) * 0xBF58476D1CE4E5B9 if j else 0) + ord(c) * 0x9E3779B97F4A7C15 & (1 << 64) - 1
+                b = (h * 0x94D049BB133111EB & (1 << 64) - 1) >> 52
+                total[b] = total.get(b, 0) + 1
+        norm = sum(total.values()) ** 0.5
+        margin = [sum(v**0.5 / norm * float(m.weight[b, k]) for b, v in total.items()) + float(m.bias[k]) for k in range(m.code.shape[1])]
+        loss = [sum(t * np.logaddexp(0, -x * c) for t, x, c in zip(m.trust, margin, code, strict=True)) / m.trust.sum() * 2 * np.log2(max(2, len(m.languages))) for code in m.code]
+        p = np.exp(min(loss) - np.array(loss))
+        assert got[r.doc_id][0] == m.languages[int(np.argmin(loss))] and abs(got[r.doc_id][1] - p.max() / p.sum()) < 1e-3
+
+
+@given(st.text("abÉΣ  1.x", min_size=1, max_size=40).filter(lambda t: any(map(str.isalpha, t))), st.integers(1, 9))
+@settings(max_examples=200, deadline=None)
+def test_pieces_of_a_long_text_leave_no_seam(text, size):
+    was, whole = langid._CHUNK, langid.features(text)
+    try:
+        langid._CHUNK = size
+        assert np.allclose(langid.features(text), whole)
+    finally:
+        langid._CHUNK = was
+
+
 def test_training_sample_is_bounded(docs_of):
     df = docs_of([f"text {k} of many" for k in range(500)])
     assert langid.train(df, F.lit(True), max_rows=20).languages == ["en"]
@@ -94,6 +144,17 @@ def test_quality_held_out_accuracy(spark):
     assert len(r) == 2 and all(x.right > 0.95 for x in r)
 
 
+def test_quality_query_is_the_plain_sum_of_its_tables(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    m = quality.train(docs, spark.read.parquet(f"{sf}/labels.parquet"), langid.crc_part("doc_id", 5) != 0)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in queries.op3_quality_gam(spark, sf).collect():
+        x = quality.features(texts[r.doc_id])
+        z = m.base + sum(t[sum(c <= v for c in cuts)] for v, cuts, t in zip(x, m.cuts, m.tables, strict=True))
+        z += sum(t[sum(c <= x[a] for c in ca), sum(c <= x[b] for c in cb)] for (a, b), (ca, cb), t in zip(m.pairs, m.pair_cuts, m.pair_tables, strict=True))
+        assert r.score == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-6) and r.predicted == (r.score >= 0.3)
+
+
 def test_quality_odd_rows(spark, odd_docs, docs_of):
     labels = spark.createDataFrame([(k, k % 2, 0) for k in range(8)] + [(None, 1, 0), (2, None, 0)], "doc_id long, quality int, toxic int")
     m = quality.train(odd_docs, labels, F.lit(True))
@@ -160,6 +221,30 @@ def test_flac_column(odd_docs, docs_of):
     assert flac.read_back(flac.encode_column(docs_of([]))).count() == 0
 
 
+def test_a_long_stream_is_handled_in_groups(monkeypatch):
+    monkeypatch.setattr(flac, "GROUP", 3)
+    body = flac.padded(b"a long text, with some more of it in every frame " * 2000)
+    m = flac.encode([body, b"x" * 64], 4)
+    monkeypatch.setattr(flac, "GROUP", 2048)
+    assert flac.encode([body, b"x" * 64], 4) == m
+    monkeypatch.setattr(flac, "GROUP", 5)
+    assert [b"".join(p for _, p in blocks) for blocks in flac.decode(m)] == [body, b"x" * 64]
+
+
+def test_op4_query(spark, sf):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = queries.op4_flac_media(spark, sf).collect()
+    assert {r.doc_id for r in got} == set(texts) and len(got) == len(texts)
+    for r in got:
+        raw = flac.padded(texts[r.doc_id].encode())
+        m = flac.encode([raw], flac.ORDER)[0]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(texts[r.doc_id].encode()), len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-64:]))
+        assert (r.media_bytes, r.media_sha256) == (len(m), hashlib.sha256(m).hexdigest())
+        x = [b - 128 for b in raw]
+        steps = [abs(a - b) for a, b in zip(x, x[1:], strict=False)]
+        assert r.feature == f"{len(x)}:{-(-len(x) // flac.FRAME)}:{sum((a < 0) != (b < 0) for a, b in zip(x, x[1:], strict=False))}:{sum(map(abs, x))}:{max(steps, default=0)}"
+
+
 # token counts
 
 
@@ -212,6 +297,31 @@ def test_token_count_column(odd_docs, docs_of, library):
     assert prefix_tokens.token_counts(docs_of([]), WORD_BPE).count() == 0
 
 
+def test_budgets_are_answered_from_the_tables(spark, docs_of, library):
+    texts = ["one two three, four!", "", None, "a " * 50 + "<|endoftext|> unbelievable"]
+    tables = prefix_tokens.prefix_tables(docs_of(texts), WORD_BPE)
+    for budget in (0, 1, 3, 7, 1000):
+        for r in tables.select("id", prefix_tokens.fits(budget).alias("to"), "n_chars").collect():
+            p = prefix_tokens.counter(WORD_BPE).prefixes(texts[r.id])
+            assert (r.to, r.n_chars) == (p.fits(budget), len(p.text)) and library(p.text[: r.to]) <= budget
+
+
+def test_long_words():
+    c = prefix_tokens.counter(WORD_BPE)
+    assert len(c.unit_table("x" * 70_000)) == 70_001
+    p = c.prefixes("x" * 20_000 + " y")
+    assert p.count(p.cut(7)) <= 7 < p.count(p.cut(7) + 40)
+
+
+def test_op6_query(spark, sf, library):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = queries.op6_prefix_token_counts(spark, sf).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        n = library(texts[r.doc_id])
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(texts[r.doc_id].encode()), n, n > 2048)
+
+
 # byte-level BPE
 
 
@@ -246,6 +356,24 @@ def test_bpe_random_texts_in_small_blocks(docs_of, coder, monkeypatch):
     check_bpe(docs_of(texts + texts[:50]), coder)
 
 
+def test_op10_query_and_counts(spark, sf, coder):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = queries.op10_byte_bpe(spark, sf).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        ids = coder.encode_ordinary(texts[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(texts[r.doc_id].encode()).hexdigest())
+    counted = bpe.with_counts(spark.read.parquet(f"{sf}/documents.parquet"), BYTE_BPE, P.PATTERN, "n")
+    assert {r.doc_id: r.n for r in counted.collect()} == {r.doc_id: r.n_tokens for r in got}
+
+
+def test_blocks_of_equal_ids_and_structure(spark, coder):
+    """Two partitions, each with one row of a null id and one word: they differ only in the word."""
+    df = spark.createDataFrame([(None, "ab"), (None, "cd")], "doc_id double, text string").repartition(2, "text")
+    got = sorted(list(r.ids) for r in bpe.encode(df, BYTE_BPE, P.PATTERN).collect())
+    assert got == sorted([coder.encode_ordinary("ab"), coder.encode_ordinary("cd")])
+
+
 def test_bpe_repeated_blocks_and_empty_table(docs_of, coder, spark):
     one = docs_of([(1, "same words"), (2, "same words again")], 1)
     check_bpe(one.union(one), coder)
