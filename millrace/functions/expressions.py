@@ -6,6 +6,8 @@ arithmetic runs in generated code. Columns are given as {name: (reference, type
 
 from __future__ import annotations
 
+import re
+from datetime import date, timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -21,6 +23,39 @@ class TypeMismatch(TypeError):
     pass
 
 
+class Moment(str):
+    """The reference of a date or time as a string in ISO form; it knows the column itself and its type."""
+
+    raw: str
+    kind: str
+
+    @classmethod
+    def of(cls, raw: str, kind: str) -> Moment:
+        out = cls(f"cast(cast({raw} as date) as string)")
+        out.raw, out.kind = raw, kind
+        return out
+
+    def against(self, op: str, day: str) -> str:
+        """The comparison with a day as bounds on the column, which reach the reader; the string comparison says the same."""
+        at = lambda d: f"{self.kind}'{d}'" if self.kind == "date" else f"{self.kind}'{d} 00:00:00'"
+        after = str(date.fromisoformat(day) + timedelta(1))
+        if op == "<":
+            return f"{self.raw} < {at(day)}"
+        if op == ">":
+            return f"{self.raw} >= {at(after)}"
+        return f"({self.raw} >= {at(day)} AND {self.raw} < {at(after)})"
+
+
+def _day(x) -> str | None:
+    """A literal that is a day in ISO form, but for the last one there is."""
+    if not (isinstance(x, Literal) and isinstance(x.value, str) and re.fullmatch(r"\d{4}-\d\d-\d\d", x.value)):
+        return None
+    try:
+        return x.value if date.fromisoformat(x.value) < date.max else None
+    except ValueError:
+        return None
+
+
 def columns_of(df: DataFrame, alias: str = "") -> Columns:
     """A frame's columns by name, and by alias.name if it has an alias."""
     out = {}
@@ -28,7 +63,7 @@ def columns_of(df: DataFrame, alias: str = "") -> Columns:
         ref = f"`{alias}`.`{f.name}`" if alias else f"`{f.name}`"
         kind = type_name(f.dataType)
         if f.dataType.simpleString() in ("timestamp", "date", "timestamp_ntz"):
-            ref = f"cast(cast({ref} as date) as string)"  # dates are strings in ISO form
+            ref = Moment.of(ref, f.dataType.simpleString())  # dates are strings in ISO form
         out[f.name] = (ref, kind)
         if alias:
             out[f"{alias}.{f.name}"] = (ref, kind)
@@ -58,6 +93,10 @@ def comparison(c: Comparison, columns: Columns, strict_types: bool = False) -> s
     (left, a), (right, b) = operand(c.left, columns), operand(c.right, columns)
     if a != b and (strict_types or "String" in (a, b)):
         raise TypeMismatch(f"{left} is {a}, {right} is {b}")
+    if isinstance(left, Moment) and (day := _day(c.right)):
+        return left.against(c.op, day)
+    if isinstance(right, Moment) and (day := _day(c.left)):
+        return right.against({"<": ">", ">": "<"}.get(c.op, c.op), day)
     return f"{left} {c.op} {right}"
 
 

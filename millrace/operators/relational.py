@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -108,17 +109,27 @@ def order_violations(df: DataFrame, keys: list[str]) -> int:
     """Neighbouring rows out of ascending order by keys, in the frame's order: every partition counts its own and gives its ends."""
     schema = ", ".join(f"{e}_{k} {df.schema[name].dataType.simpleString()}" for e in ("first", "last") for k, name in enumerate(keys))
 
+    def falls(rows: pa.Table) -> int:
+        """Rows smaller than the one before, compared column by column; nulls come first."""
+        down = equal = None
+        for c in rows.columns:
+            was, now = c.slice(0, len(c) - 1), c.slice(1)
+            less = pc.or_(pc.fill_null(pc.less(now, was), False), pc.and_(pc.is_null(now), pc.is_valid(was)))
+            same = pc.or_(pc.fill_null(pc.equal(now, was), False), pc.and_(pc.is_null(now), pc.is_null(was)))
+            down, equal = (less, same) if down is None else (pc.or_(down, pc.and_(equal, less)), pc.and_(equal, same))
+        return pc.sum(down).as_py() or 0
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bad, first, last, kinds = 0, None, None, []
+        bad, first, last = 0, None, None
         for b in batches:
-            kinds = b.schema.types
-            for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                key = tuple((x is not None, x.encode() if isinstance(x, str) else x) for x in row)
-                bad += last is not None and key < last[0]
-                first, last = first or row, (key, row)
-        if first:
-            cols = {f"{e}_{k}": pa.array([v], kinds[k]) for e, r in (("first", first), ("last", last[1])) for k, v in enumerate(r)}
-            yield pa.RecordBatch.from_pydict({"bad": pa.array([bad], pa.int64())} | cols)
+            if b.num_rows:
+                now = pa.Table.from_batches([b])
+                bad += falls(now if last is None else pa.concat_tables([last, now]))
+                first, last = first or now.slice(0, 1), now.slice(len(now) - 1)
+        if first is not None:
+            ends = [c.combine_chunks() for t in (first, last) for c in t.columns]
+            names = [f"{e}_{k}" for e in ("first", "last") for k in range(len(keys))]
+            yield pa.RecordBatch.from_arrays([pa.array([bad], pa.int64()), *ends], names=["bad", *names])
 
     ends = df.select(*[F.col(f"`{k}`") for k in keys]).mapInArrow(run, f"bad long, {schema}").select(F.spark_partition_id().alias("p"), "*").collect()
     ends.sort(key=lambda r: r["p"])

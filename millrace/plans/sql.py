@@ -177,14 +177,26 @@ def _outputs(stmt: Select, columns: Columns, names: list[str]) -> list[tuple[str
     return [(n, s if short.count(s) == 1 and s != "sum" else n.replace(".", "_")) for n, s in zip(names, short, strict=True)]
 
 
-def _ref(name: str, frames: dict[str, DataFrame]) -> Column:
+def _resolve(name: str, frames: dict[str, DataFrame]) -> tuple[str, str]:
+    """(alias, column) of a name; bind() has found it to be of one relation."""
     alias, _, column = name.rpartition(".")
-    alias = alias or next(a for a, df in frames.items() if column in df.columns)
+    return alias or next(a for a, df in frames.items() if column in df.columns), column
+
+
+def _ref(name: str, frames: dict[str, DataFrame]) -> Column:
+    alias, column = _resolve(name, frames)
     return F.col(f"`{alias}`.`{column}`")
 
 
-def run_select(stmt: Select, table: Callable[[str], DataFrame], strict_types: bool = False) -> DataFrame:
-    """The SELECT as a DataFrame. table: the frame of a relation."""
+def _grouped(stmt: Select, names: list[str], frames: dict[str, DataFrame]) -> None:
+    """Every name must be grouped by: the same column of the same relation."""
+    keys = {_resolve(g, frames) for g in stmt.group_by}
+    if extra := [n for n in names if _resolve(n, frames) not in keys]:
+        raise ParseError(f"{extra[0]} is neither summed nor grouped by")
+
+
+def run_select(stmt: Select, table: Callable[[str], DataFrame], strict_types: bool = False, order: list[Comparison] | None = None) -> DataFrame:
+    """The SELECT as a DataFrame. table: the frame of a relation; order: the join predicates in the order to join by, as far as it goes."""
     frames = {alias: table(name) for name, alias in stmt.tables}
     bound = bind(stmt, frames)
     parts = {}
@@ -193,6 +205,9 @@ def run_select(stmt: Select, table: Callable[[str], DataFrame], strict_types: bo
         if alias in bound.own:
             parts[alias] = parts[alias].where(cnf_text(bound.own[alias], bound.columns, strict_types))
     todo, joined = list(parts), set()
+    for c in reversed(order or []):  # the relations of the first predicate come first
+        by = next((pair for pair, x in bound.equal if x == c), frozenset())
+        todo.sort(key=lambda a: a not in by)  # noqa: B023  stable
     df = None
     left = list(bound.equal)
     while todo:
@@ -213,8 +228,7 @@ def run_select(stmt: Select, table: Callable[[str], DataFrame], strict_types: bo
     if stmt.sum is None:
         names = stmt.names
         if stmt.group_by:
-            if extra := [n for n in names if n.rpartition(".")[2] not in [g.rpartition(".")[2] for g in stmt.group_by]]:
-                raise ParseError(f"{extra[0]} is neither summed nor grouped by")
+            _grouped(stmt, names, frames)
         out = df.select(*[_ref(n, frames).alias(o) for n, o in _outputs(stmt, bound.columns, names)])
         return out.distinct() if stmt.distinct or stmt.group_by else out
     value, _ = arithmetic(stmt.sum, bound.columns)
@@ -223,10 +237,10 @@ def run_select(stmt: Select, table: Callable[[str], DataFrame], strict_types: bo
         if stmt.names:
             raise ParseError(f"{stmt.names[0]} is neither summed nor grouped by")
         return df.agg(value.alias("sum")).select(F.coalesce("sum", F.lit(0)).alias("sum"))
-    keys = _outputs(stmt, bound.columns, stmt.group_by)
-    known = {n.rpartition(".")[2]: o for n, o in keys}
     shown = stmt.names or stmt.group_by
-    if extra := [n for n in shown if n.rpartition(".")[2] not in known]:
-        raise ParseError(f"{extra[0]} is neither summed nor grouped by")
+    _grouped(stmt, shown, frames)
+    unique = list({_resolve(n, frames): n for n in stmt.group_by}.values())
+    keys = _outputs(stmt, bound.columns, unique)
+    known = {_resolve(n, frames): o for n, o in keys}
     out = df.groupBy(*[_ref(n, frames).alias(o) for n, o in keys]).agg(value.alias("sum"))
-    return out.select("sum", *[known[n.rpartition(".")[2]] for n in shown])
+    return out.select("sum", *[known[_resolve(n, frames)] for n in shown])

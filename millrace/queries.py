@@ -292,6 +292,19 @@ def print_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return txt.console_lines(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
 
 
+@query("SELECT 'o_orderkey: [' || o_orderkey || ']|o_orderdate: [' || strftime(o_orderdate, '%Y-%m-%d') || ']|o_totalprice: [' || printf('%.6f', o_totalprice) || ']' AS value FROM orders WHERE o_orderdate < '1995-06-01'")
+def write_out_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "written")
+    some = ops.select_pipe(table(spark, sf_dir, "orders"), "(o_orderdate < '1995-06-01')")
+    txt.write_out(some.select("o_orderkey", "o_orderdate", "o_totalprice"), path)
+    return spark.read.text(path)
+
+
+@query("SELECT 'o_orderdate: [' || strftime(o_orderdate, '%Y-%m-%d') || '], o_totalprice: [' || printf('%g', o_totalprice) || ']' AS value FROM orders WHERE o_orderdate > '1997-12-31'")
+def print_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return txt.console_lines(ops.select_pipe(table(spark, sf_dir, "orders"), "('1997-12-31' < o_orderdate)").select("o_orderdate", "o_totalprice"))
+
+
 @query("SELECT CAST(COUNT(*) AS BIGINT) AS n, ROUND(SUM(s_acctbal), 2) AS total FROM supplier")
 def drain(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier")
@@ -358,6 +371,9 @@ _dialect("self_join", "SELECT s.s_suppkey, c.c_custkey FROM supplier AS s, custo
 _dialect("select_above_join", "SELECT s.s_suppkey, ps.ps_partkey FROM supplier AS s, partsupp AS ps WHERE (s.s_suppkey = ps.ps_suppkey) AND (s.s_acctbal > 2500.0 OR ps.ps_partkey < 100)", f"SELECT s_suppkey, ps_partkey FROM supplier, {PS} ps WHERE s_suppkey = ps_suppkey AND (s_acctbal > 2500.0 OR ps_partkey < 100)")
 _dialect("sql_distinct", "SELECT DISTINCT ps.ps_suppkey FROM partsupp AS ps WHERE (ps.ps_supplycost < 30000.11)", f"SELECT DISTINCT ps_suppkey FROM {PS} ps WHERE ps_supplycost < 30000.11")
 _dialect("sql_group_only", "SELECT o.o_orderstatus FROM orders AS o WHERE (o.o_orderkey > 0) GROUP BY o.o_orderstatus", "SELECT DISTINCT o_orderstatus FROM orders")
+_dialect("sql_group_two_aliases", "SELECT SUM (a.n_nationkey) FROM nation AS a, nation AS b WHERE (a.n_nationkey < b.n_nationkey) GROUP BY a.n_regionkey, b.n_regionkey", "SELECT CAST(SUM(a.n_nationkey) AS BIGINT) AS sum, a.n_regionkey AS a_n_regionkey, b.n_regionkey AS b_n_regionkey FROM nation a, nation b WHERE a.n_nationkey < b.n_nationkey GROUP BY a.n_regionkey, b.n_regionkey")
+_dialect("sql_group_one_of_two", "SELECT SUM (a.n_nationkey), b.n_regionkey FROM nation AS a, nation AS b WHERE (a.n_nationkey < b.n_nationkey) GROUP BY a.n_regionkey, b.n_regionkey", "SELECT CAST(SUM(a.n_nationkey) AS BIGINT) AS sum, b.n_regionkey AS b_n_regionkey FROM nation a, nation b WHERE a.n_nationkey < b.n_nationkey GROUP BY a.n_regionkey, b.n_regionkey")
+_dialect("sql_day", "SELECT o.o_orderkey FROM orders AS o WHERE (o.o_orderdate = '1996-01-02' OR o.o_orderdate > '1998-06-01')", "SELECT o_orderkey FROM orders WHERE CAST(o_orderdate AS DATE) = DATE '1996-01-02' OR CAST(o_orderdate AS DATE) > DATE '1998-06-01'")
 _dialect("sql_cross", "SELECT n.n_nationkey, r.r_name FROM nation AS n, region AS r WHERE (n.n_nationkey < 3)", "SELECT n_nationkey, r_name FROM nation, region WHERE n_nationkey < 3")
 _dialect("sql_inner_and", "SELECT n.n_nationkey FROM nation AS n WHERE (n.n_regionkey = 1 OR n.n_regionkey = 2 AND n.n_nationkey > 5)", "SELECT n_nationkey FROM nation WHERE (n_regionkey = 1 OR n_regionkey = 2) AND n_nationkey > 5")
 _dialect("sql_theta", "SELECT a.n_nationkey, b.n_name FROM nation AS a, nation AS b WHERE (a.n_regionkey < b.n_regionkey)", "SELECT a.n_nationkey, b.n_name FROM nation a, nation b WHERE a.n_regionkey < b.n_regionkey")
@@ -401,4 +417,4 @@ def pushed(spark: SparkSession, sf_dir: str, relation: str, cnf: str) -> str:
     """The physical plan of a filtered scan, for tests."""
     df = table(spark, sf_dir, relation)
     df = df.filter(predicate(cnf, columns_of(df)))
-    return df._jdf.queryExecution().executedPlan().toString()
+    return spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .catalog import Catalog, Relation, struct
 from .plans.estimator import Statistics
-from .plans.explain import plan_text
+from .plans.explain import join_order, plan_text
 from .plans.sql import CreateTable, Drop, Insert, Quit, Select, SetOutput, parse_statement, run_select
 from .sources.tables import Tables
 from .sources.text import console_lines, load_text, write_out
@@ -54,7 +54,13 @@ class Session:
         stmt = parse_statement(text, legacy_assoc)
         if not isinstance(stmt, Select):
             raise ValueError("not a SELECT")
-        return run_select(stmt, self.table, strict_types)
+        return run_select(stmt, self.table, strict_types, self._order(stmt))
+
+    def _order(self, stmt: Select) -> list | None:
+        """The greedy join order, if statistics of all relations are known; else that of FROM."""
+        if len(stmt.tables) < 3 or any(name not in self.statistics.relations for name, _ in stmt.tables):
+            return None
+        return [c for c, _ in join_order(stmt, {alias: self.table(name) for name, alias in stmt.tables}, self.statistics)]
 
     def explain(self, text: str) -> str:
         stmt = parse_statement(text)
@@ -86,7 +92,7 @@ class Session:
         else:
             if self.output == "NONE":
                 return self.explain(text)
-            df = run_select(stmt, self.table)
+            df = run_select(stmt, self.table, order=self._order(stmt))
             if self.output == "STDOUT":
                 for row in console_lines(df).toLocalIterator():
                     print(row["value"])

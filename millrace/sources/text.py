@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,12 +42,17 @@ def compose_record(spark: SparkSession, schema: T.StructType, text: str) -> Data
     return one.select(*[_value(F.col("f")[k], c.dataType).alias(c.name) for k, c in enumerate(schema)])
 
 
+def _shown(col: Column, kind: T.DataType) -> Column:
+    """Dates and times as ISO dates, as predicates see them; anything else as it is."""
+    return (col.cast("date") if isinstance(kind, T.DateType | T.TimestampType | T.TimestampNTZType) else col).cast("string")
+
+
 def lines(df: DataFrame) -> DataFrame:
     """Rows as text: `name: [value]` joined by `|`, doubles with six decimals."""
     parts = []
     for f in df.schema:
         col = F.col(f"`{f.name}`")
-        shown = F.format_string("%.6f", col.cast("double")) if type_name(f.dataType) == "Double" else col.cast("string")
+        shown = F.when(col.isNotNull(), F.format_string("%.6f", col.cast("double"))) if type_name(f.dataType) == "Double" else _shown(col, f.dataType)
         parts.append(F.concat(F.lit(f"{f.name}: ["), F.coalesce(shown, F.lit("")), F.lit("]")))
     return df.select(F.concat_ws("|", *parts).alias("value"))
 
@@ -57,23 +63,15 @@ def write_out(df: DataFrame, path: str) -> None:
 
 
 def console_lines(df: DataFrame) -> DataFrame:
-    """Rows as printed: `name: [value]` joined by `, `, doubles with six significant digits and no trailing zeros."""
+    """Rows as printed: `name: [value]` joined by `, `, doubles with six significant digits and no trailing zeros, as C rounds them."""
+
+    @F.pandas_udf("string")
+    def short(x: pd.Series) -> pd.Series:  # Java rounds ties up, and not the binary value
+        return x.map("{:g}".format)
+
     parts = []
     for f in df.schema:
         col = F.col(f"`{f.name}`")
-        if type_name(f.dataType) == "Double":
-            x = col.cast("double")
-            size = F.floor(F.log10(F.abs(x)))
-            plain = F.regexp_replace(F.regexp_replace(F.format_string("%.10f", F.round(x, 10)), r"0+$", ""), r"\.$", "")
-            power = F.format_string("%.5e", x)
-            short = F.regexp_replace(F.regexp_replace(power, r"0+e", "e"), r"\.e", "e")
-            digits = F.when(x == 0, "0").when((size < -4) | (size >= 6), short)
-            for k in range(-4, 6):
-                fixed = F.format_string(f"%.{5 - k}f", x)
-                fixed = F.when(F.lit(5 - k > 0), F.regexp_replace(F.regexp_replace(fixed, r"0+$", ""), r"\.$", "")).otherwise(fixed)
-                digits = digits.when(size == k, fixed)
-            shown = digits.otherwise(plain)
-        else:
-            shown = col.cast("string")
+        shown = F.when(col.isNotNull(), short(col.cast("double"))) if type_name(f.dataType) == "Double" else _shown(col, f.dataType)
         parts.append(F.concat(F.lit(f"{f.name}: ["), F.coalesce(shown, F.lit("")), F.lit("]")))
     return df.select(F.concat_ws(", ", *parts).alias("value"))
