@@ -124,9 +124,9 @@ def route(nodes: list[tuple[int, int, int, int]], fp: np.ndarray, r: int) -> tup
     return np.concatenate(at), np.concatenate(shard)
 
 
-def pairs_within(fp: np.ndarray, r: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions i, j of all pairs of different fingerprints within r of each other (a pair may come twice)."""
-    rng, todo, i, j = np.random.default_rng(7), [np.arange(len(fp))], [], []
+def pairs_within(fp: np.ndarray, r: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions i, j of all pairs of different fingerprints within r of each other, a block at a time (a pair may come twice)."""
+    rng, todo = np.random.default_rng(7), [np.arange(len(fp))]
     while todo:
         idx = todo.pop()
         if len(idx) > BLOCK:
@@ -137,12 +137,21 @@ def pairs_within(fp: np.ndarray, r: int) -> tuple[np.ndarray, np.ndarray]:
                 continue
         for at in range(0, len(idx), BLOCK):
             x = fp[idx[at : at + BLOCK]]
-            for to in range(at, len(idx), 4 * BLOCK):
-                a, b = np.nonzero(np.bitwise_count(x[:, None] ^ fp[idx[to : to + 4 * BLOCK]][None, :]) <= r)
+            for to in range(at, len(idx), BLOCK):
+                a, b = np.nonzero(np.bitwise_count(x[:, None] ^ fp[idx[to : to + BLOCK]][None, :]) <= r)
                 on = a + at < b + to
-                i.append(idx[a[on] + at])
-                j.append(idx[b[on] + to])
-    return (np.concatenate(i), np.concatenate(j)) if i else (np.zeros(0, np.int64),) * 2
+                if on.any():
+                    yield idx[a[on] + at], idx[b[on] + to]
+
+
+def linked_within(fp: np.ndarray, r: int) -> np.ndarray:
+    """The smallest position reachable from each fingerprint by links within r; a group of n needs no room for its pairs."""
+    lab = np.arange(len(fp))
+    for i, j in pairs_within(fp, r):
+        i, j = lab[i], lab[j]
+        if len(on := np.flatnonzero(i != j)):
+            lab = local_components(len(fp), i[on], j[on])[lab]
+    return lab
 
 
 def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
@@ -171,8 +180,7 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
 
     def meet(t: pa.Table) -> pa.Table:
         fp = np.unique(t.column("fp").to_numpy().view(np.uint64))
-        i, j = pairs_within(fp, radius)
-        lab = local_components(len(fp), i, j)
+        lab = linked_within(fp, radius)
         on = np.flatnonzero(lab != np.arange(len(fp)))
         return pa.table({"a": fp[on].view(np.int64), "b": fp[lab[on]].view(np.int64)})
 

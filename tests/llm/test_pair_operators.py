@@ -82,7 +82,9 @@ def test_pairs_within_and_shards_lose_no_link(seed, n, spread, monkeypatch):
     fp = close_sets(random.Random(seed), n, spread)
     d = np.bitwise_count(fp[:, None] ^ fp[None, :])
     want = {(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(d <= 2, 1)), strict=True)}
-    i, j = simhash.pairs_within(fp, 2)
+    parts = list(simhash.pairs_within(fp, 2))
+    i, j = (np.concatenate([np.zeros(0, np.int64), *[p[k] for p in parts]]) for k in (0, 1))
+    assert simhash.linked_within(fp, 2).tolist() == groups(len(fp), list(zip(i.tolist(), j.tolist(), strict=True)))
     assert {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist(), strict=True)} == want
     nodes = simhash.grow(fp[:: 3 if n > 1 else 1], 2, 4)
     at, shard = simhash.route(nodes, fp, 2)
