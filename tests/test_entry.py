@@ -33,3 +33,17 @@ def test_broken_parts_are_not_hidden(tmp_path):
     (folder / "millrace/llm/queries.py").write_text("import a_module_that_is_not_there\n")
     out = said(folder)
     assert out.returncode and "a_module_that_is_not_there" in out.stderr
+
+
+def test_short_lived_folders_end_with_their_block(spark):
+    import os
+
+    from millrace.workspace import scratch, short_lived
+
+    kept = scratch(spark, "kept")
+    spark.range(3).write.parquet(kept)
+    with short_lived(spark):
+        path = scratch(spark, "gone")
+        spark.range(3).write.parquet(path)
+        assert spark.read.parquet(path).count() == 3
+    assert not os.path.exists(path.removeprefix("file://")) and spark.read.parquet(kept).count() == 3
