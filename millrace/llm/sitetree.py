@@ -395,9 +395,8 @@ def verdicts(tree: DataFrame) -> DataFrame:
     """(verdict): the names of what the tree says against contents that are boilerplate, and for lists of links that are important."""
     around = _entropy(tree.select("repeated", F.posexplode("cores").alias("place", "core")), ["repeated", "place"], "core")
     often = around.where((F.col("kinds") >= MIN_PAGES) & (F.col("entropy") >= SPREAD)).select(F.col("repeated").alias("verdict")).distinct()
-    lists = tree.where("dense")
-    varied = importance(lists).where((F.col("pages") >= MIN_PAGES) & (F.col("importance") >= LEAST)).select("node")
-    return often.union(lists.join(varied, "node").select("varied").distinct())
+    lists = tree.where("dense").withColumn("node", F.col("varied"))  # a name for each node
+    return often.union(importance(lists).where((F.col("pages") >= MIN_PAGES) & (F.col("importance") >= LEAST)).select("node"))
 
 
 def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
