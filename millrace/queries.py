@@ -15,9 +15,10 @@ from . import operators as ops
 from .catalog import Relation, struct
 from .functions.expressions import columns_of, predicate
 from .plans.estimator import Statistics
+from .plans.explain import show_order, show_schema
 from .session import Session
 from .sources import text as txt
-from .sources.tables import Tables
+from .sources.tables import Tables, key_prefix
 from .workspace import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -409,6 +410,64 @@ def statistics_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(float(round(s.apply("(c_custkey = o_custkey)", ["customer", "orders"]))),)], "estimate double")
 
 
+@query("SELECT 'a' AS relation, CAST(COUNT(*) AS DOUBLE) * COUNT(*) / COUNT(DISTINCT n_regionkey) AS estimate FROM nation")
+def statistics_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The estimate of a self-join, through copies of a relation's statistics."""
+    s = Statistics()
+    s.collect("nation", table(spark, sf_dir, "nation"), ["n_regionkey"], exact=True)
+    s.copy_relation("nation", "a")
+    s.copy_relation("nation", "b")
+    return spark.createDataFrame([("a", round(float(s.estimate("(a.n_regionkey = b.n_regionkey)", ["a", "b"])), 6))], "relation string, estimate double")
+
+
+@query("SELECT relation, CAST(row_count AS DOUBLE) AS row_count FROM (VALUES ('region', 5.0), ('nation', 25.0), ('part', 200000.0), ('supplier', 10000.0), ('partsupp', 800000.0), ('customer', 150000.0), ('orders', 1500000.0), ('lineitem', 6001215.0)) t (relation, row_count)")
+def statistics_tpch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = Statistics.read(Statistics.tpch().write())
+    return spark.createDataFrame([(name, float(r.rows)) for name, r in s.relations.items()], "relation string, row_count double")
+
+
+_ORDERED = "SELECT c.c_custkey, r.r_name FROM customer AS c, nation AS n, region AS r WHERE (c.c_nationkey = n.n_nationkey) AND (n.n_regionkey = r.r_regionkey)"
+
+
+@query("SELECT c_custkey, r_name, 'n.n_regionkey = r.r_regionkey' AS first_join FROM customer, nation, region WHERE c_nationkey = n_nationkey AND n_regionkey = r_regionkey")
+def greedy_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The smallest join comes first, in the plan and in execution."""
+    s = session(spark, sf_dir)
+    for name in ("customer", "nation", "region"):
+        s.analyze(name)
+    first = next(x for x in s.explain(_ORDERED).split("\n") if x.startswith("JOIN")).removeprefix("JOIN ").partition(",")[0]
+    return s.select(_ORDERED).withColumn("first_join", F.lit(first))
+
+
+@query("SELECT * FROM (VALUES ('quit', true), ('closed', true)) t (step, done)")
+def quit_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = Session(spark)
+    s.execute("quit;")
+    try:
+        s.execute("SET OUTPUT NONE;")
+        refused = False
+    except RuntimeError:
+        refused = True
+    return spark.createDataFrame([("quit", s.closed), ("closed", refused)], "step string, done boolean")
+
+
+@query("SELECT 'schema' AS kind, string_agg(column_name || ' ' || CASE column_type WHEN 'BIGINT' THEN 'Int' WHEN 'INTEGER' THEN 'Int' WHEN 'DOUBLE' THEN 'Double' ELSE 'String' END, ', ') AS text FROM (DESCRIBE SELECT s_suppkey, s_name, s_acctbal FROM supplier) UNION ALL SELECT 'order', '2 keys, 2: s_acctbal Double, 0: s_suppkey Int'")
+def printers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal").schema
+    shown = [("schema", show_schema(schema)), ("order", show_order(["s_acctbal", "s_suppkey"], schema))]
+    return spark.createDataFrame([(k, t.replace("\n", ", ")) for k, t in shown], "kind string, text string")
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey, 1 AS prefix FROM nation WHERE n_nationkey = 7")
+def key_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lookup in a table sorted on two columns by the key prefix of its predicate."""
+    tables, schema = Tables(spark, scratch(spark, "tables")), struct(NATION)
+    tables.create("mine", schema, "sorted", ["n_nationkey", "n_name"])
+    tables.append("mine", txt.load_text(spark, _tbl(spark, sf_dir), schema))
+    cnf = "(n_nationkey = 7) AND (n_regionkey > -1)"
+    return tables.lookup("mine", cnf).withColumn("prefix", F.lit(len(key_prefix(cnf, ["n_nationkey", "n_name"]))))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["join3_group"](spark, sf_dir)
 
