@@ -466,6 +466,8 @@ def read_back(media: DataFrame) -> DataFrame:
     """Digests and features of the decoded streams of encode_column(): one row for each stream.
 
     feature: samples, blocks, zero crossings, sum of absolute values and largest step, of the signed samples.
+    A damaged stream raises ValueError. Repeated rows come back as often; an empty table gives no rows; long
+    streams are decoded a group of frames at a time.
     """
     names = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 

@@ -67,8 +67,10 @@ def mix(df: DataFrame, domain: Column, weight: Column, total: float | None = Non
     total: the budget in tokens, else share times all tokens. tokens: of a row, else a quarter of its
     UTF-8 bytes, rounded up; a null text has none. A null language, source or domain is a branch of its
     own, `unknown`. Rows with the same id, or without one, share a place in the order and are drawn
-    together or not at all; rows of no tokens are drawn if their place lies in the prefix. An empty
-    table gives no rows. Other columns are kept, but for one named mix_col.
+    together or not at all; rows of no tokens are drawn if their place lies in the prefix. A document longer
+    than what is left of a budget ends the prefix; texts are only measured, however long. Siblings that fill
+    at the same level are taken by name. An empty table gives no rows. Other columns are kept, whatever their
+    names, but for one named mix_col.
     """
     import math
 
@@ -89,6 +91,7 @@ def mix(df: DataFrame, domain: Column, weight: Column, total: float | None = Non
     cut = ranges.withColumn("upto", F.sum("t").over(so_far)).where("upto > rest").groupBy(*LEVELS).agg(F.min(F.struct("range", (F.col("upto") - F.col("t")).alias("before"))).alias("c")).select(*LEVELS, F.col("c.range").alias("range"), F.col("c.before").alias("before"))
     cut = stored(cut, "mix-cuts")
     near = last.withColumn("range", F.shiftright("place", _RANGE)).join(small(cut), [*LEVELS, "range"])
+    near = near.groupBy(*LEVELS, "rest", "before", "place").agg(F.sum("tokens").alias("tokens"))  # rows that share a place, as those without an id do, are one
     in_order = Window.partitionBy(*LEVELS).orderBy("place").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     near = near.withColumn("upto", F.col("before") + F.sum("tokens").over(in_order)).where("upto <= rest").groupBy(*LEVELS).agg(F.max("place").alias("to"))
     edge = cut.join(near, list(LEVELS), "left").withColumn("to", F.coalesce("to", F.shiftleft(F.col("range"), _RANGE) - 1)).select(*LEVELS, "to")

@@ -192,8 +192,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Documents are linked at `radius` or fewer differing bits; component_id is the smallest id reachable.
     Null and empty texts have fingerprint 0 and link like any other; rows with a null id keep their row,
-    and their component has the smallest id that is not null (null if it has none). Repeated rows come
-    back as often; an empty table gives no rows; other columns of df are ignored.
+    and their component has the smallest id that is not null (null if it has none). A bit set in exactly half
+    the shingles is 0. Very long texts are read whole, in pieces of bounded memory. Repeated rows come back as
+    often; an empty table gives no rows; other columns of df are ignored, so their names don't matter.
     """
     fps = stored(fingerprints(df, id_col, text_col, shingle), "simhash")
     reps = stored(fps.groupBy("fp").agg(F.min("id").alias("first")), "simhash-reps")
