@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,8 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 #: Rows of an Arrow batch; with the byte limit below it bounds what a Python worker holds.
 BATCH_ROWS = 1000
 BATCH_BYTES = 16 << 20
+#: Whether the shuffle files of a query go when it ends.
+FILES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -29,16 +32,31 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@contextmanager
+def brief_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a query made and run inside go when it ends, not when the driver's JVM next collects its garbage (kept if the user set that)."""
+    was = spark.conf.get(FILES_GO, None)
+    if was is None:
+        spark.conf.set(FILES_GO, "true")
+    try:
+        yield
+    finally:
+        if was is None:
+            spark.conf.unset(FILES_GO)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts lineage, and fixes the rows that several readers see."""
     path = scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with brief_shuffles(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    with brief_shuffles(df.sparkSession):
+        return df.select("*").checkpoint()  # a query of its own
 
 
 def in_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:

@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,13 +35,21 @@ _made: list[str] = []
 @contextmanager
 def short_lived(spark: SparkSession) -> Iterator[None]:
     """Removes the folders that scratch() gives out inside, when the block ends: results that read them must have been written by then."""
-    before = len(_made)
+    before = set(_made)
     try:
         yield
     finally:
-        for path in _made[before:]:
+        for path in [x for x in _made if x not in before]:
             remove(spark, path)
-        del _made[before:]
+            _made.remove(path)
+
+
+def forget(df: DataFrame) -> None:
+    """Removes the folders of scratch() that df reads, which nothing may read any more."""
+    names = {f.rsplit("/", 2)[-2] for f in df.inputFiles()}  # they are unique
+    for path in [x for x in _made if x.rsplit("/", 1)[1] in names]:
+        remove(df.sparkSession, path)
+        _made.remove(path)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
