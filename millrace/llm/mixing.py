@@ -61,7 +61,7 @@ def budgets(leaves: DataFrame, weight: Column, total: float, epochs: int) -> Dat
     return leaves.join(above, list(LEVELS), "left").withColumn("budget", F.coalesce("budget", F.lit(0.0)))
 
 
-def mix(df: DataFrame, domain: Column, weight: Column, total: float | None = None, share: float = 1.0, epochs: int = 4, seed: int = 1, tokens: Column | None = None, id_col: str = "doc_id", lang_col: str = "lang", source_col: str = "source", text_col: str = "text", mix_col: str = "mix") -> DataFrame:
+def mix(df: DataFrame, domain: Column, weight: Column, total: float | None = None, share: float = 1.0, epochs: int = 4, seed: int = 1, tokens: Column | None = None, id_col: str = "doc_id", lang_col: str = "lang", source_col: str = "source", text_col: str = "text", mix_col: str = "mix", measured: DataFrame | None = None) -> DataFrame:
     """df's rows that are drawn, as they are, with a column mix_col (domain, epoch, tokens); a row comes once for each epoch that draws it.
 
     total: the budget in tokens, else share times all tokens. tokens: of a row, else a quarter of its
@@ -71,12 +71,14 @@ def mix(df: DataFrame, domain: Column, weight: Column, total: float | None = Non
     than what is left of a budget ends the prefix; texts are only measured, however long. Siblings that fill
     at the same level are taken by name. An empty table gives no rows. Other columns are kept, whatever their
     names, but for one named mix_col.
+    measured: the id, language, source and tokens of df's rows, from which all is worked out; df is then read
+    only where its rows are drawn, and need not have the tokens, which are null in mix_col.
     """
     import math
 
     key = lambda c: F.coalesce(c.cast("string"), F.lit("unknown"))
     size = F.ceil(F.octet_length(F.col(f"`{text_col}`")) / 4) if tokens is None else tokens
-    own = df.select(key(domain).alias("domain"), key(F.col(f"`{lang_col}`")).alias("lang"), key(F.col(f"`{source_col}`")).alias("source"), F.coalesce(size, F.lit(0)).cast("long").alias("tokens"), F.col(f"`{id_col}`").alias("id"))
+    own = (df if measured is None else measured).select(key(domain).alias("domain"), key(F.col(f"`{lang_col}`")).alias("lang"), key(F.col(f"`{source_col}`")).alias("source"), F.coalesce(size, F.lit(0)).cast("long").alias("tokens"), F.col(f"`{id_col}`").alias("id"))
     leaves = stored(own.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs")), "mix-leaves")
     n, whole = leaves.agg(F.count("*"), F.sum("tokens")).first()
     wanted = float(total) if total is not None else math.floor(share * float(whole or 0))
@@ -107,5 +109,6 @@ def mix(df: DataFrame, domain: Column, weight: Column, total: float | None = Non
     times = passes + F.when(place(seed, passes, F.col(f"`{id_col}`")) <= to, 1).otherwise(0)
     epochs_of = F.when(times > 0, F.sequence(F.lit(0), times - 1))
     at = spare(df, "mix_epoch")
-    given = F.struct(F.col(f"`{leaf[0]}`").alias("domain"), F.col(f"`{at}`").cast("long").alias("epoch"), F.coalesce(size, F.lit(0)).cast("long").alias("tokens")).alias(mix_col)
+    drawn = F.coalesce(size, F.lit(0)).cast("long") if measured is None else F.lit(None).cast("long")
+    given = F.struct(F.col(f"`{leaf[0]}`").alias("domain"), F.col(f"`{at}`").cast("long").alias("epoch"), drawn.alias("tokens")).alias(mix_col)
     return out.withColumn(at, F.explode(epochs_of)).select(*[F.col(f"`{c}`") for c in df.columns], given)

@@ -4,10 +4,12 @@ import itertools
 import os
 import time
 
+import corpus_pipeline
 import numpy as np
 import pyarrow as pa
 from millrace import workspace
-from millrace.llm import common, jaccard
+from millrace.llm import bpe, common, jaccard, mixing
+from millrace.llm import queries as q
 from pyspark.sql import functions as F
 
 
@@ -82,6 +84,21 @@ def test_the_stage_leaves_only_what_its_result_reads(docs_of):
     assert {r.id: r.component_id for r in out.collect()} == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 4}
 
 
+def test_the_mixture_writes_no_texts_and_draws_the_same(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = docs.union(docs.limit(2).withColumn("doc_id", F.lit(None).cast("long"))).union(docs.limit(1)).union(docs.limit(1).withColumn("text", F.lit(None).cast("string")))
+    written = []
+    keep = lambda df, name: written.append((name, df.columns)) or common.stored(df, name)
+    monkeypatch.setattr(corpus_pipeline, "stored", keep)
+    out = corpus_pipeline.mixture(spark, docs, sf)
+    assert [n for n, _ in written] == ["pipeline-counts"] and "text" not in written[0][1]
+    path, pattern = q.byte_bpe()
+    whole = common.stored(bpe.with_counts(docs, path, pattern, "n"), "whole")
+    want = mixing.mix(whole, q.mix_domain(F.col("source")), q.mix_weight(), share=q.MIX_SHARE, epochs=q.MIX_EPOCHS, seed=q.MIX_SEED, tokens=F.col("n")).select(*docs.columns)
+    assert out.columns == docs.columns and out.count() == want.count() > 0
+    assert out.exceptAll(want).isEmpty() and want.exceptAll(out).isEmpty()
+
+
 def test_shuffle_files_go_with_their_query(spark):
     files = lambda: {f for f in (x.getName() for x in _local_files(spark)) if f.startswith("shuffle_")}
     before = files()
